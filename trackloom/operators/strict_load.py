@@ -8,11 +8,14 @@ stack that grows with the length of a line.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.coerce import field_valid, stripped, to_real, to_whole
+from trackloom.operators.coerce import in_range, is_blank, stripped, to_real
 from trackloom.schema import RECORD_FIELDS, RULES
+from trackloom.session import computed_once
 
 # One enclosed field, one bare field, and a record of them.
 ENCLOSED = r'"[^"]*+(?:""[^"]*+)*+"'
@@ -42,15 +45,39 @@ def strict_load(raw: DataFrame, offset: str = "line_id", line: str = "raw_line",
     so their names cannot clash with fields.
     """
     parsed = raw.select(F.col(offset), F.col(line).alias("_line")).filter(well_quoted(F.col("_line")))
-    parsed = parsed.withColumn("_f", split_record(F.col("_line"))).filter(F.size("_f") == len(fields))
-    for i, f in enumerate(fields):
-        parsed = parsed.filter(field_valid(F.get("_f", F.lit(i)), RULES[f]))
+    parsed = computed_once(parsed, {"_f": split_record(F.col("_line"))}).filter(F.size("_f") == len(fields))
+    parsed = computed_once(parsed, {"_n": _numbers("_f", fields), "_blank": F.transform("_f", is_blank)})
+    sound = reduce(Column.__and__, _sound_fields("_blank", "_n", fields).values())
     typed = []
     for i, f in enumerate(fields):
-        text, kind = F.get("_f", F.lit(i)), RULES[f].kind
-        value = to_real(text) if kind == "real" else to_whole(text) if kind == "whole" else stripped(text)
-        typed.append((value.try_cast("int") if kind == "whole" and f != "duration_ms" else value).alias(f))
-    return parsed.select(F.col(offset), *typed)
+        kind, number = RULES[f].kind, F.get("_n", F.lit(i))
+        value = number if kind == "real" else number.try_cast("bigint" if f == "duration_ms" else "int") if kind == "whole" else stripped(F.get("_f", F.lit(i)))
+        typed.append(value.alias(f))
+    return parsed.filter(sound).select(F.col(offset), *typed)
+
+
+def _numbers(values: str, fields: list[str]) -> Column:
+    """Every field as a number, whole ones truncated towards zero; null for text fields and for what is no number.
+
+    One lambda over the array instead of an expression per field keeps the generated code small.
+    """
+    whole = F.lit([RULES[f].kind == "whole" for f in fields])
+    number = F.lit([RULES[f].kind in ("real", "whole") for f in fields])
+
+    def converted(value: Column, i: Column) -> Column:
+        real = F.when(F.get(number, i), to_real(value))
+        return F.when(F.get(whole, i), F.when(real < 0, -F.floor(-real)).otherwise(F.floor(real)).cast("double")).otherwise(real)
+
+    return F.transform(values, converted)
+
+
+def _sound_fields(blanks: str, numbers: str, fields: list[str]) -> dict[str, Column]:
+    """field -> whether it meets its rule; never null."""
+    return {
+        f: ~F.coalesce(F.get(blanks, F.lit(i)), F.lit(True)) if RULES[f].kind == "text" else in_range(F.get(numbers, F.lit(i)), RULES[f])
+        for i, f in enumerate(fields)
+        if RULES[f].kind != "optional"
+    }
 
 
 def failing_lines(raw: DataFrame, offset: str = "line_id", line: str = "raw_line", fields: list[str] = RECORD_FIELDS) -> DataFrame:
@@ -66,8 +93,9 @@ def diagnose(failing: DataFrame, offset: str = "line_id", line: str = "raw_line"
     A null line counts as empty, which is one blank field: column_count.
     """
     split = failing.select(F.col(offset), well_quoted(F.col(line)).alias("_sound"), F.col(line).alias("_line"))
-    split = split.withColumn("_f", F.when(F.col("_sound"), split_record(F.col("_line"))))
-    invalid = F.array_compact(F.array(*[F.when(~field_valid(F.get("_f", F.lit(i)), RULES[f]), F.lit(f)) for i, f in enumerate(fields)]))
+    split = computed_once(split, {"_f": F.when(F.col("_sound"), split_record(F.col("_line")))})
+    split = computed_once(split, {"_n": _numbers("_f", fields), "_blank": F.transform("_f", is_blank)})
+    invalid = F.array_compact(F.array(*[F.when(~ok, F.lit(f)) for f, ok in _sound_fields("_blank", "_n", fields).items()]))
     return split.select(
         F.col(offset),
         F.when(~F.col("_sound"), F.array(F.lit("quoting")))

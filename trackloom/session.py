@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,15 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once per row, however often later expressions use them.
+
+    The optimizer copies a projected expression into every filter above it; it does not copy through a generator, so the
+    columns go through one that gives exactly one row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def blanks_collapsed(column):
     """Blanks of any kind, no-break spaces among them, become one space; none at the ends."""
     return F.trim(F.regexp_replace(column, BLANKS, " "))
