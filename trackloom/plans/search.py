@@ -12,7 +12,7 @@ from trackloom import config
 from trackloom.functions import text as T
 from trackloom.functions.parse import ParsedQuery, mood_filters, parse_query
 from trackloom.operators import bm25, candidates, lsh, prefilter, vectors
-from trackloom.session import free_name
+from trackloom.session import checkpointed, free_name
 from trackloom.vocab import MOODS
 
 SHOWN = ["title", "artist", "genre", "mood_tags"]
@@ -41,9 +41,9 @@ class Engine:
 
     @staticmethod
     def build(catalogue: DataFrame, embedder=None, indexed: bool = True) -> Engine:
-        """Features, and the hash index unless indexed is False (then every search is exact)."""
+        """Features, written once to the checkpoint folder, and the hash index unless indexed is False (then search is exact)."""
         embedder = embedder or vectors.HashEmbedder()
-        tracks = features_built(catalogue, embedder)
+        tracks = checkpointed(features_built(catalogue, embedder))
         if not indexed:
             return Engine(tracks, embedder=embedder)
         planes = lsh.normal_planes(getattr(embedder, "dims", config.TEXT_DIMS) + len(config.AUDIO_FEATURES))
