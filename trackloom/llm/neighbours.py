@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.clusters import _reduce, nearest
+from trackloom.llm.clusters import _reduce, matrix, nearest
 from trackloom.session import checkpointed
 
 #: The index is fitted on at most this many vectors; all vectors are indexed.
@@ -55,13 +56,18 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def build(vectors: DataFrame, lists: int | None = None, sample: int = FIT_SAMPLE, seed: int = 5) -> Index | None:
     """Index over (id bigint, v array<double>); None if there are no vectors. Repeated vectors and ids are indexed as they come.
 
-    lists: by default the square root of the number of vectors. The sample is the vectors of least hash of their id.
+    lists: by default the square root of the number of vectors. The sample is drawn by a hash of the id, so it is the same each time.
     """
     vectors = checkpointed(vectors)
     count = vectors.count()
     if not count:
         return None
-    fitted = np.array([r["v"] for r in vectors.orderBy(F.xxhash64("id", F.lit(seed))).limit(sample).select("v").collect()])
+    drawn = vectors
+    if count > sample:  # a hash threshold: nothing but the sample reaches the driver
+        drawn = vectors.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(0.95 * sample / count * (1 << 30)))
+    fitted = np.array([r["v"] for r in drawn.select("v").limit(sample).collect()])
+    if not len(fitted):
+        fitted = np.array([r["v"] for r in vectors.select("v").limit(sample).collect()])
     turn = rotation(fitted.shape[1], seed)
     fitted = fitted @ turn
     k = min(lists or max(1, round(count**0.5)), MAX_LISTS, len(fitted))
@@ -73,14 +79,15 @@ def build(vectors: DataFrame, lists: int | None = None, sample: int = FIT_SAMPLE
         np.add.at(total, j, fitted)
         centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres)
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                v = _matrix(pdf["v"]) @ turn
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                v = matrix(b.column("v")) @ turn
                 j, d = nearest(v, centres)
-                yield pd.DataFrame({"id": pdf["id"], "list": j.astype("int32"), "distance": np.sqrt(d), "v": list(v)})
+                rotated = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_pydict({"id": b.column("id"), "list": j.astype("int32"), "distance": np.sqrt(d), "v": rotated})
 
-    held = checkpointed(vectors.mapInPandas(placed, "id long, list int, distance double, v array<double>"))
+    held = checkpointed(vectors.mapInArrow(placed, "id long, list int, distance double, v array<double>"))
     radii, sizes = np.zeros(len(centres)), np.zeros(len(centres), dtype=np.int64)
     for r in held.groupBy("list").agg(F.max("distance").alias("r"), F.count("*").alias("n")).collect():
         radii[r["list"]], sizes[r["list"]] = r["r"], r["n"]
