@@ -57,7 +57,8 @@ def strict_load(raw: DataFrame, offset: str = "line_id", line: str = "raw_line",
 
 
 def _numbers(values: str, fields: list[str]) -> Column:
-    """Every field as a number, whole ones truncated towards zero; null for text fields and for what is no number.
+    """Every field as a number, whole ones truncated towards zero; null for text fields, for what is no number and for
+    whole numbers that are infinite.
 
     One lambda over the array instead of an expression per field keeps the generated code small.
     """
@@ -66,6 +67,7 @@ def _numbers(values: str, fields: list[str]) -> Column:
 
     def converted(value: Column, i: Column) -> Column:
         real = F.when(F.get(number, i), to_real(value))
+        real = F.when(F.get(whole, i) & (F.abs(real) == float("inf")), None).otherwise(real)
         return F.when(F.get(whole, i), F.when(real < 0, -F.floor(-real)).otherwise(F.floor(real)).cast("double")).otherwise(real)
 
     return F.transform(values, converted)
