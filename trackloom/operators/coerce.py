@@ -20,7 +20,8 @@ def stripped(column: Column) -> Column:
 
 def is_blank(column: Column) -> Column:
     """Null, empty or blanks only."""
-    return F.coalesce(stripped(column), F.lit("")) == ""
+    seen = F.coalesce(column.rlike(r"\A[!-~]"), F.lit(False))  # most texts begin with a visible ASCII character
+    return F.when(seen, False).otherwise(F.coalesce(stripped(column), F.lit("")) == "")
 
 
 def to_real(column: Column) -> Column:
@@ -31,7 +32,8 @@ def to_real(column: Column) -> Column:
     """
     text = stripped(column)
     plain = F.regexp_replace(text, "_", "")
-    return F.when(text.rlike(NUMBER), plain.try_cast("double")).when(
+    simple = column.rlike(r"\A-?\d{1,15}(?:\.\d{1,15})?\z")  # the common case, tried first
+    return F.when(simple, column.try_cast("double")).when(text.rlike(NUMBER), plain.try_cast("double")).when(
         F.lower(text).rlike(WORDS), F.regexp_replace(F.lower(text), r"\A\+", "").try_cast("double")
     )
 

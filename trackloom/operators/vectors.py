@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from trackloom.config import AUDIO_FEATURES, AUDIO_WEIGHT, TEXT_DIMS, TEXT_WEIGHT
 from trackloom.functions.parse import FeatureFilter
-from trackloom.functions.text import tokens
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -131,23 +130,42 @@ class HashEmbedder:
     dims: int = TEXT_DIMS
 
     def column(self, text: Column) -> Column:
-        """array<double>; zeros for a text without tokens."""
-        digits = lambda t, start: F.conv(F.substring(F.md5(t.cast("binary")), start, 7), 16, 10).cast("int")
-        slots = F.transform(tokens(text), lambda t: F.struct((digits(t, 1) % self.dims).alias("s"), F.when(digits(t, 8) % 2 == 0, 1.0).otherwise(-1.0).alias("v")))
+        """array<double>; zeros for a null and for a text without tokens."""
 
         @F.pandas_udf("array<double>")
-        def filled(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for series in rows:
-                out = []
-                for slots_ in series:
-                    v = np.zeros(self.dims)
-                    for x in slots_:
-                        v[x["s"]] += x["v"]
-                    norm = np.sqrt((v * v).sum())
-                    out.append(v / norm if norm else v)
-                yield pd.Series(out, dtype=object)
-
-        return filled(slots)
+        def filled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known: dict[str, np.ndarray] = {}
+            for texts in batches:
+                yield pd.Series(list(self._vectors(texts, known)), dtype=object)
+
+        return filled(text)
+
+    def composed(self, text: Column, audio: Column) -> Column:
+        """compose(column(text), audio) in one crossing to Python."""
+
+        @F.pandas_udf("array<double>")
+        def filled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            known: dict[str, np.ndarray] = {}
+            for texts, audios in batches:
+                if not len(texts):
+                    yield pd.Series([], dtype=object)
+                    continue
+                rows = np.stack(self._vectors(texts, known)) * TEXT_WEIGHT
+                yield pd.Series(list(_unit(np.hstack([rows, _unit(np.stack(audios.to_numpy()).astype(float)) * AUDIO_WEIGHT]))), dtype=object)
+
+        return filled(text, audio)
+
+    def _vectors(self, texts: pd.Series, known: dict[str, np.ndarray]) -> list[np.ndarray]:
+        """Descriptions repeat, so vectors are kept, up to 10,000 per task."""
+        if len(known) > 10_000:
+            known.clear()
+        out = []
+        for t in texts:
+            t = t or ""
+            if t not in known:
+                known[t] = self.vector(t)
+            out.append(known[t])
+        return out
 
     def vector(self, text: str) -> np.ndarray:
         """The same on the driver."""

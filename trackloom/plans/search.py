@@ -21,13 +21,14 @@ SHOWN = ["title", "artist", "genre", "mood_tags"]
 def features_built(catalogue: DataFrame, embedder=None) -> DataFrame:
     """catalogue with tokens (of the lexical document) and embedding (text and min-max audio, composed, unit length)."""
     embedder = embedder or vectors.HashEmbedder()
-    scaled = vectors.minmax_applied(catalogue.select("id", *config.AUDIO_FEATURES), config.AUDIO_FEATURES)
-    audio = scaled.select("id", F.array(*config.AUDIO_FEATURES).alias("_audio"))
-    described = catalogue.withColumns({
+    row = catalogue.agg(*[f(c).alias(f"_{n}_{c}") for c in config.AUDIO_FEATURES for n, f in (("min", F.min), ("max", F.max))])
+    scaled = [vectors.minmax_scaled(F.col(c), F.col(f"_min_{c}"), F.col(f"_max_{c}")) for c in config.AUDIO_FEATURES]
+    text, audio = T.semantic_text(F.col("genre"), F.col("mood_tags")), F.array(*scaled)
+    one_pass = getattr(embedder, "composed", None)
+    return catalogue.crossJoin(F.broadcast(row)).withColumns({  # one row
         "tokens": T.lexical_tokens(F.col("title"), F.col("artist"), F.col("genre"), F.col("mood_tags")),
-        "_text": embedder.column(T.semantic_text(F.col("genre"), F.col("mood_tags"))),
-    })
-    return described.join(audio, "id").withColumn("embedding", vectors.compose(F.col("_text"), F.col("_audio"))).drop("_text", "_audio")
+        "embedding": one_pass(text, audio) if one_pass else vectors.compose(embedder.column(text), audio),
+    }).drop(*row.columns)
 
 
 @dataclass
