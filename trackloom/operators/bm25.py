@@ -84,6 +84,8 @@ def max_normalized(scores: DataFrame, score: str = "bm25") -> DataFrame:
 
 
 def ranked(scores: DataFrame, score: str, key: str, k: int) -> DataFrame:
-    """The k best with their rank from 1; ties go to the smaller key. Only k rows reach the window."""
-    best = scores.orderBy(F.desc(score), key).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
+    """The k best with their rank from 1; scores that agree to nine places tie, and ties go to the smaller key, so that the
+    order in which terms are summed does not matter. Only k rows reach the window."""
+    order = [F.round(score, 9).desc(), F.asc(key)]
+    best = scores.orderBy(*order).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

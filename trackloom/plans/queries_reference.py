@@ -501,7 +501,7 @@ def doc_stats(t):
     return stats.select("n", r6(F.col("avgdl"), "avgdl"))
 
 
-@query(f"WITH {_scores()} SELECT doc_id, round(bm25, 6) AS bm25, (row_number() OVER (ORDER BY bm25 DESC, doc_id))::INT AS rank FROM s ORDER BY bm25 DESC, doc_id LIMIT 20")
+@query(f"WITH {_scores()} SELECT doc_id, round(bm25, 6) AS bm25, (row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id))::INT AS rank FROM s ORDER BY round(bm25, 9) DESC, doc_id LIMIT 20")
 def bm25_topk(t):
     return bm25.ranked(bm25.bm25_scores(docs(t), "doc_id", "tokens", LEXICAL_QUERY), "bm25", "doc_id", 20).select("doc_id", r6(F.col("bm25"), "bm25"), "rank")
 
@@ -536,7 +536,7 @@ def _first_vector(t) -> list[float]:
 
 
 _TOP = f"""{_E}, q AS (SELECT v AS q FROM e WHERE vec_id = 0), c AS (SELECT vec_id, label, list_inner_product(v, q) AS cosine FROM e, q),
-top AS (SELECT vec_id, cosine, (row_number() OVER (ORDER BY cosine DESC, vec_id))::INT AS rank FROM c)"""
+top AS (SELECT vec_id, cosine, (row_number() OVER (ORDER BY round(cosine, 9) DESC, vec_id))::INT AS rank FROM c)"""
 
 
 @query(f"WITH {_TOP} SELECT vec_id, round(cosine, 6) AS cosine, rank FROM top WHERE rank <= 20")
