@@ -10,10 +10,10 @@ from trackloom.functions import scores
 from trackloom.vocab import ARTIST_GENRES, DEFAULT_GENRE, GENRES, KEYWORD_GENRES
 
 
-def favourites(requests: DataFrame, request: str = "request_id", ids: str = "favorite_track_ids") -> DataFrame:
-    """(request, pos, id): each favourite once, in order of first mention. Null and empty ids are skipped."""
+def favourites(requests: DataFrame, request: str = "request_id", ids: str = "favorite_track_ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(request, pos, id): each favourite once, in order of first mention. Null and empty ids are skipped. keep: columns to carry."""
     once = F.array_distinct(F.filter(ids, lambda x: x.isNotNull() & (x != "")))
-    return requests.select(request, F.posexplode(once).alias("pos", "id"))
+    return requests.select(request, *keep, F.posexplode(once).alias("pos", "id"))
 
 
 def unknown_favourites(favs: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -28,15 +28,18 @@ def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return first.select(key, "_f.*").select(*df.columns)
 
 
-def pooled(found: DataFrame, group: str, key: str, pos: str, limit: int) -> DataFrame:
-    """Union of search results per group: position of a key's first sight, values of its last sight, the first `limit` keys."""
+def pooled(found: DataFrame, group: str, key: str, pos: str, limit: int | Column) -> DataFrame:
+    """Union of search results per group: position of a key's first sight, values of its last sight, the first `limit` keys.
+
+    limit: a number, or a Column over found's further columns.
+    """
     rest = [c for c in found.columns if c not in (group, key, pos)]
     merged = found.filter(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(group, key).agg(
         F.min(pos).alias(pos), F.max_by(F.struct(*rest), pos).alias("_last") if rest else F.lit(None).alias("_last")
     )
     rank = F.row_number().over(Window.partitionBy(group).orderBy(pos, key))
-    cut = merged.withColumn("_r", rank).filter(F.col("_r") <= limit)
-    return cut.select(group, key, pos, *([F.col("_last.*")] if rest else []))
+    cut = merged.withColumn("_r", rank).select(group, key, pos, "_r", *([F.col("_last.*")] if rest else [])).filter(F.col("_r") <= limit)
+    return cut.drop("_r")
 
 
 def with_features(candidates: DataFrame, features: DataFrame, key: str = "id") -> DataFrame:
@@ -48,7 +51,7 @@ def with_features(candidates: DataFrame, features: DataFrame, key: str = "id") -
 
 def favourite_profile(favs: DataFrame, catalogue: DataFrame, request: str = "request_id") -> DataFrame:
     """Per request the means of its favourites' features, popularity and duration (placeholders where a value or the track is
-    unknown) and their artists in lower case. Requests have few favourites each."""
+    unknown), their artists in lower case and their ids. Requests have few favourites each."""
     known = favs.join(catalogue.select("id", "artist", "popularity", "duration_ms", *SIMILARITY_FEATURES), "id", "left")
     means = [F.avg(F.coalesce(F.nanvl(F.col(f), F.lit(None).cast("double")), F.lit(DEFAULT_FEATURE))).alias(f"fav_{f}") for f in SIMILARITY_FEATURES]
     return known.groupBy(request).agg(
@@ -56,6 +59,7 @@ def favourite_profile(favs: DataFrame, catalogue: DataFrame, request: str = "req
         F.avg(F.coalesce("popularity", F.lit(DEFAULT_POPULARITY))).alias("fav_popularity"),
         F.avg(F.coalesce("duration_ms", F.lit(DEFAULT_DURATION))).alias("fav_duration"),
         F.array_sort(F.collect_set(F.when(F.col("artist") != "", F.lower("artist")))).alias("fav_artists"),
+        F.collect_set("id").alias("fav_ids"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom import config
@@ -144,31 +144,37 @@ def _ranked(scored: DataFrame, pre: prefilter.Prefiltered, k: int, weights: dict
     )
 
 
-def live_candidates(favs: DataFrame, catalogue: DataFrame, request: str = "request_id", per_query: int = 20, limit: int = 30) -> DataFrame:
-    """(request, id, pos): what searching a catalogue for each favourite's title and artist words proposes.
+def live_candidates(favs: DataFrame, catalogue: DataFrame, request: str = "request_id", per_query: int = 20, limit: int | Column = 30) -> DataFrame:
+    """(request, id, pos, further columns of favs): what searching a catalogue for each favourite's title and artist words proposes.
 
-    A search text proposes the tracks whose title, artist or title's first word it is, up to per_query by id.
+    A search text proposes the tracks whose title, artist or title's first word it is, up to per_query by id. limit: candidates
+    of a request, a number or a Column over the further columns, which are the same in all rows of a request.
     """
+    kept = [c for c in favs.columns if c not in (request, "pos", "id")]
     known = favs.join(catalogue.select("id", "title", "artist"), "id")
-    texts = known.select(request, F.col("pos").alias("_fav"), F.posexplode(T.expand_queries(F.col("title"), F.col("artist"))).alias("_q", "_text"))
+    texts = known.select(request, *kept, F.col("pos").alias("_fav"), F.posexplode(T.expand_queries(F.col("title"), F.col("artist"))).alias("_q", "_text"))
     keys = catalogue.select("id", F.explode(F.array_distinct(F.array("title", "artist", F.element_at(F.split(F.trim("title"), r"\s+"), 1)))).alias("_text"))
     numbered = keys.withColumn("_item", F.row_number().over(Window.partitionBy("_text").orderBy("id"))).filter(F.col("_item") <= per_query)
     hits = texts.join(numbered, "_text").withColumn("pos", F.struct("_fav", "_q", "_item"))
-    return candidates.pooled(hits.select(request, "id", "pos"), request, "id", "pos", limit)
+    together = hits.select(request, "id", "pos", *kept).repartition(request)  # else pooled shuffles by request and id, then by request
+    return candidates.pooled(together, request, "id", "pos", limit)
 
 
 def recommend_live(requests: DataFrame, catalogue: DataFrame, k: int = 10) -> DataFrame:
     """(request_id, rank, track_id, title, artist, score): for every request at once.
 
-    Candidates from searches for its favourites (three times k, before favourites are removed), then reranked by five signals
-    on the candidates' own features. Ties keep the order in which candidates were found.
+    A request's top_k says how many it gets; k stands in for a missing one. Candidates from searches for its favourites (three
+    times as many, before favourites are removed), then reranked by five signals on the candidates' own features. Ties keep the
+    order in which candidates were found.
     """
-    favs = candidates.favourites(requests)
-    pool = live_candidates(favs, catalogue, limit=3 * k).withColumnRenamed("pos", "_pos")
+    catalogue = checkpointed(catalogue.select("id", "title", "artist", "popularity", "duration_ms", *config.SIMILARITY_FEATURES))  # read four times
+    wanted = F.coalesce("top_k", F.lit(k)) if "top_k" in requests.columns else F.lit(k)
+    favs = candidates.favourites(requests.withColumn("_k", wanted), keep=("_k",))
+    pool = live_candidates(favs, catalogue, limit=3 * F.col("_k")).withColumnRenamed("pos", "_pos")
     profile = candidates.favourite_profile(favs, catalogue)
-    rows = pool.join(catalogue, "id").join(profile, "request_id").join(favs.select("request_id", "id"), ["request_id", "id"], "left_anti")
+    rows = pool.join(catalogue, "id").join(profile, "request_id").filter(~F.array_contains("fav_ids", F.col("id")))
     names = F.when(F.col("artist") != "", F.array(F.lower("artist"))).otherwise(F.array().cast("array<string>"))
     scored = rows.withColumn("score", candidates.rerank_score(names))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "_pos"))
-    ranked = scored.withColumn(free_name(scored, "rank"), rank).filter(F.col("rank") <= k)
+    ranked = scored.withColumn(free_name(scored, "rank"), rank).filter(F.col("rank") <= F.col("_k"))
     return ranked.select("request_id", "rank", F.col("id").alias("track_id"), "title", "artist", "score")
