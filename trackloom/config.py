@@ -5,6 +5,8 @@ AUDIO_FEATURES = ["danceability", "energy", "valence", "tempo", "loudness", "spe
 TEXT_WEIGHT, AUDIO_WEIGHT = 0.6, 0.4
 LSH_TABLES, LSH_BITS, LSH_SEED = 8, 12, 42
 PROBE_RADIUS, MIN_CANDIDATES, OVERSAMPLE = 2, 50, 5
+# Of one of the nearest tracks by the probes; where it may be higher, a search is exact.
+MISS_PROBABILITY = 0.01
 BM25_K1, BM25_B = 1.5, 0.75
 W_COSINE, W_BM25, W_POPULARITY, W_BONUS = 0.65, 0.25, 0.10, 0.05
 MIN_POOL = 30

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -64,13 +65,22 @@ def probes(queries: DataFrame, query: str, bits: int = LSH_BITS, radius: int = P
     return spread.select(query, (F.col("table_idx") * (radius + 1) + F.col("_m.r")).alias("step"), "table_idx", F.col("bucket").bitwiseXOR(F.col("_m.m")).alias("bucket"))
 
 
-def candidates(index: DataFrame, queries: DataFrame, query: str, key: str, enough: int | None = MIN_CANDIDATES, bits: int = LSH_BITS, radius: int = PROBE_RADIUS) -> DataFrame:
+def miss_probability(cosine: float, tables: int = LSH_TABLES, bits: int = LSH_BITS, radius: int = PROBE_RADIUS) -> float:
+    """That full probing with normal planes misses a vector of this cosine with the query: each bit differs with angle / pi."""
+    differs = math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+    found = sum(math.comb(bits, r) * differs**r * (1 - differs) ** (bits - r) for r in range(radius + 1))
+    return (1 - found) ** tables
+
+
+def candidates(index: DataFrame, queries: DataFrame, query: str, key: str, enough: int | None = MIN_CANDIDATES, bits: int = LSH_BITS, radius: int = PROBE_RADIUS, few: bool = False) -> DataFrame:
     """(query, key, step): what the probes find, each key with its first step.
 
     index, queries: as `hashed` gives them. enough: after the first step with so many keys in all no further step counts, as
     when probing stops there; None probes everything. The running count has one row per query and step.
+    few: the queries are so few that their probes go to every task, and the index is not shuffled.
     """
-    hits = probes(queries, query, bits, radius).join(index, ["table_idx", "bucket"]).groupBy(query, key).agg(F.min("step").alias("step"))
+    probed = probes(queries, query, bits, radius)
+    hits = (F.broadcast(probed) if few else probed).join(index, ["table_idx", "bucket"]).groupBy(query, key).agg(F.min("step").alias("step"))
     if enough is None:
         return hits
     counted = hits.groupBy(query, "step").agg(F.count("*").alias("_n"))

@@ -33,12 +33,16 @@ def features_built(catalogue: DataFrame, embedder=None) -> DataFrame:
 
 @dataclass
 class Engine:
-    """Search and recommend over built features. Results are DataFrames."""
+    """Search and recommend over built features. Results are DataFrames.
+
+    reference_probing: stop probing at MIN_CANDIDATES proposals, as the reference does, and lose nearest tracks by it.
+    """
 
     tracks: DataFrame
     index: DataFrame | None = None
     planes: np.ndarray | None = None
     embedder: object = field(default_factory=vectors.HashEmbedder)
+    reference_probing: bool = False
 
     @staticmethod
     def build(catalogue: DataFrame, embedder=None, indexed: bool = True) -> Engine:
@@ -76,15 +80,23 @@ class Engine:
             raise RuntimeError("artefacts and catalogue hold different ids: build the artefacts again")
 
     def _scoped(self, allowed: DataFrame, query: np.ndarray, k: int) -> DataFrame:
-        """Allowed rows that the index proposes; all allowed rows if those are too few."""
+        """Allowed rows that the index proposes; all allowed rows if those are too few or might lack one of the k nearest.
+
+        A vector as near as the k-th proposal, or nearer, is missed by the probes with a probability that follows from the angle.
+        """
         if self.index is None:
             return allowed
         needed = max(config.MIN_CANDIDATES, k * config.OVERSAMPLE)
         spark = self.tracks.sparkSession
         asked = lsh.hashed(spark.createDataFrame([(0, [float(x) for x in query])], "query int, v array<double>"), "query", "v", self.planes)
-        proposed = lsh.candidates(self.index, asked, "query", "id").select("id")
+        enough = config.MIN_CANDIDATES if self.reference_probing else None
+        proposed = checkpointed(lsh.candidates(self.index, asked, "query", "id", enough, self.planes.shape[1], few=True).select("id"))  # ids, read twice
         scoped = allowed.join(proposed, "id", "left_semi")
-        return scoped if scoped.limit(needed).count() >= needed else allowed
+        if self.reference_probing:
+            return scoped if scoped.limit(needed).count() >= needed else allowed
+        nearest = scoped.select(vectors.dot_with(F.col("embedding"), list(query)).alias("cosine")).orderBy(F.desc("cosine")).limit(needed).collect()
+        safe = len(nearest) >= needed and lsh.miss_probability(nearest[k - 1]["cosine"], *self.planes.shape[:2]) <= config.MISS_PROBABILITY
+        return scoped if safe else allowed
 
     def search(self, text: str, k: int = 10, rank_all: bool = False) -> DataFrame:
         """The k best tracks for a free text.
