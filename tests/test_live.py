@@ -18,9 +18,13 @@ def texts_of(track):
     return [title, artist, *([first] if len(first) > 3 else [])]
 
 
+def folded(name):
+    return f" {' '.join(name.lower().split())} "
+
+
 def searched(tracks, text):
     """tracks: by id."""
-    return [t for t in tracks if text in (t["title"], t["artist"], t["title"].split()[0])][:20]
+    return [t for t in tracks if folded(text) in folded(t["title"]) or folded(text) in folded(t["artist"])][:20]
 
 
 def score(track, favs):

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trackloom.session import blanks_collapsed
 from trackloom.vocab import MOOD_HINTS, MOOD_KEYWORDS
 
 TOKEN = "[a-z']+"
@@ -24,6 +25,18 @@ def tokens_of(text: str) -> list[str]:
     return re.findall(TOKEN, text.lower())
 
 
+def folded(text: Column) -> Column:
+    """A name without regard to letter case and to leading, trailing or repeated blanks."""
+    return blanks_collapsed(F.lower(text))
+
+
+def word_runs(text: Column) -> Column:
+    """All runs of consecutive words of a name, folded; empty for null and blank."""
+    words = F.filter(F.split(folded(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
+    starts = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: i > 0)
+    return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda n: F.array_join(F.slice(words, i, n), " "))))
+
+
 def lexical_tokens(title: Column, artist: Column, genre: Column, mood_tags: Column) -> Column:
     """Tokens of a track's lexical document, in this order; bars between tags separate."""
     return tokens(F.concat_ws(" ", title, artist, genre, F.replace(mood_tags, F.lit("|"), F.lit(" "))))

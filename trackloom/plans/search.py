@@ -159,13 +159,16 @@ def _ranked(scored: DataFrame, pre: prefilter.Prefiltered, k: int, weights: dict
 def live_candidates(favs: DataFrame, catalogue: DataFrame, request: str = "request_id", per_query: int = 20, limit: int | Column = 30) -> DataFrame:
     """(request, id, pos, further columns of favs): what searching a catalogue for each favourite's title and artist words proposes.
 
-    A search text proposes the tracks whose title, artist or title's first word it is, up to per_query by id. limit: candidates
-    of a request, a number or a Column over the further columns, which are the same in all rows of a request.
+    A search text proposes the tracks in whose title or artist it stands as one or more whole words, without regard to letter
+    case and to further blanks, up to per_query by id. limit: candidates of a request, a number or a Column over the further
+    columns, which are the same in all rows of a request.
     """
     kept = [c for c in favs.columns if c not in (request, "pos", "id")]
     known = favs.join(catalogue.select("id", "title", "artist"), "id")
     texts = known.select(request, *kept, F.col("pos").alias("_fav"), F.posexplode(T.expand_queries(F.col("title"), F.col("artist"))).alias("_q", "_text"))
-    keys = catalogue.select("id", F.explode(F.array_distinct(F.array("title", "artist", F.element_at(F.split(F.trim("title"), r"\s+"), 1)))).alias("_text"))
+    texts = texts.withColumn("_text", T.folded(F.col("_text")))
+    keys = catalogue.select("id", F.explode(F.array_distinct(F.concat(T.word_runs(F.col("title")), T.word_runs(F.col("artist"))))).alias("_text"))
+    keys = keys.join(texts.select("_text").distinct(), "_text", "left_semi")
     numbered = keys.withColumn("_item", F.row_number().over(Window.partitionBy("_text").orderBy("id"))).filter(F.col("_item") <= per_query)
     hits = texts.join(numbered, "_text").withColumn("pos", F.struct("_fav", "_q", "_item"))
     together = hits.select(request, "id", "pos", *kept).repartition(request)  # else pooled shuffles by request and id, then by request
