@@ -37,3 +37,19 @@ def test_search_equals_brute_force(items, text, m):
     windows = {tuple(text[i : i + m]) for i in range(len(text) - m + 1)}
     want = {n for n, w in named.items() if any(tuple(w[i : i + m]) in windows for i in range(len(w) - m + 1))}
     assert L.Patterns.of(named, m).found_in(text) == want
+
+
+def test_long_and_deep_interjections():
+    words = ITEM.split()
+    for aside in ("(" + "very long " * 90 + ")", "((((((deep))))))", "[(a) [b] (c [d])]", "(a) [b]"):
+        assert L.words_of(" ".join(words[:6]) + f" {aside} " + " ".join(words[6:])) == L.words_of(ITEM)
+    assert L.words_of("a) b (c d [e) f] (g) h") == list("abcdefh")
+    assert L.words_of("(a [b] c") == list("ac") and L.words_of("(" * 50_000 + "a") == ["a"]
+
+
+def test_stray_brackets_hide_nothing(spark):
+    words = ITEM.split()
+    texts = ["x " + "(y " * 3 + "z " * 300 + ITEM + " z)", " ".join(words[:6]) + " (" + "very long " * 90 + ") " + " ".join(words[6:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    assert {r[0] for r in L.leaked_items(docs, items).collect()} == {0, 1}

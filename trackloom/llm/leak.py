@@ -20,26 +20,48 @@ from pyspark.sql import functions as F
 #: Characters of items that are searched for in one pass; a larger collection is searched in several passes.
 PASS_CHARS = 20_000_000
 WORDS = 12
+#: Characters between two brackets above which they may not belong together.
+LONG_ASIDE = 400
 
 # Characters that print nothing; hyphens; what stands between a divided word's halves; words.
 _UNSEEN = dict.fromkeys(map(ord, "­​‌‍⁠﻿‎‏"))
-_ASIDE = re.compile(r"\([^()\[\]]{0,400}\)|\[[^()\[\]]{0,400}\]")
+_BRACKET = re.compile(r"[()\[\]]")
 _DIVIDED = re.compile(r"(?<=[^\W\d_])[-‐‑¬][^\S\n]*\r?\n\s*(?=[^\W_])")
 _SOFT_BREAK = re.compile(r"­[^\S\n]*\r?\n\s*")
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words_of(text: str | None) -> list[str]:
+def without_asides(text: str, longest: int | None = None) -> str:
+    """text with a blank for each interjection in brackets, however deep, up to `longest` characters. Brackets without their
+    partner stay; one of the other kind between two partners keeps them apart, as in '(a [b) c]'."""
+    stack: list[tuple[str, int]] = []
+    asides: list[tuple[int, int]] = []
+    for m in _BRACKET.finditer(text):
+        if m[0] in "([":
+            stack.append((m[0], m.start()))
+        elif stack and stack[-1][0] == ("(" if m[0] == ")" else "["):
+            start = stack.pop()[1]
+            if longest is not None and m.end() - start > longest:
+                continue
+            while asides and asides[-1][0] > start:
+                asides.pop()
+            asides.append((start, m.end()))
+        else:
+            stack.clear()
+    out, at = [], 0
+    for start, end in asides:
+        out += [text[at:start], " "]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def words_of(text: str | None, longest: int | None = None) -> list[str]:
     """The words a reader sees: runs of letters and digits without regard to case, accents written apart or together,
     ligatures, wide forms, invisible characters, line division, and without interjections in round or square brackets."""
     if not text:
         return []
     text = _SOFT_BREAK.sub("", text).translate(_UNSEEN)
-    for _ in range(4):
-        text, n = _ASIDE.subn(" ", text)
-        if not n:
-            break
-    text = _DIVIDED.sub("", text)
+    text = _DIVIDED.sub("", without_asides(text, longest))
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).casefold()
         text = "".join(c for c in text if not unicodedata.combining(c))
@@ -48,6 +70,12 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text)
 
 
+def readings(text: str | None) -> list[list[str]]:
+    """The words of a text; if brackets enclose more than LONG_ASIDE characters, which may be two stray ones, also with those kept."""
+    doubtful = text and len(text) > LONG_ASIDE and without_asides(text) != without_asides(text, LONG_ASIDE)
+    return [words_of(text), words_of(text, LONG_ASIDE)] if doubtful else [words_of(text)]
+
+
 @dataclass(frozen=True)
 class Patterns:
     """shifts: block to shift. buckets: block to the (item, end) places where it ends a pattern. items: their words."""
@@ -106,12 +134,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", it
     results = []
     for number in range(passes):
         part = items.filter(F.pmod(F.xxhash64(item), F.lit(passes)) == number).select(item, text).collect()
-        names = [r[item] for r in part]
-        patterns = spark.sparkContext.broadcast(Patterns.of({i: words_of(r[text]) for i, r in enumerate(part)}, words))
+        read = [(r[item], own) for r in part for own in readings(r[text])]
+        names = [n for n, _ in read]
+        patterns = spark.sparkContext.broadcast(Patterns.of({i: own for i, (_, own) in enumerate(read)}, words))
 
         def search(batches: Iterator[pd.DataFrame], patterns=patterns) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                found = [sorted(patterns.value.found_in(words_of(t))) for t in pdf[text]]
+                found = [sorted(set().union(*map(patterns.value.found_in, readings(t)))) for t in pdf[text]]
                 out = pd.DataFrame({key: pdf[key], "_items": found})
                 yield out[out["_items"].str.len() > 0]
 
