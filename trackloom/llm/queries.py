@@ -63,8 +63,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    documents = read_table(spark, folder, "documents")
-    return pii.found_details(documents, pii.fit(documents, read_table(spark, folder, "members")))
+    return pii.personal_details(read_table(spark, folder, "documents"), read_table(spark, folder, "members"))
 
 
 def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
