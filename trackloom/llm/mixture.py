@@ -1,10 +1,12 @@
 """Mixing sources to target weights along a curriculum.
 
-Each source has a weight schedule w(t) over training time t in [0, 1] whose integral is its target share. Its cumulative token
-demand after time t is D(t) = size of the mixture x integral of w from 0 to t. A source's documents are laid end to end in a
-pseudo-random order (running totals of tokens from a global range sort, so no source is gathered in one task); the copy of a
-document that begins at token c is wanted at the time t with D(t) = c, found by inverting D. Range-sorting all copies by that
-time gives their training positions. A source is passed through max_repeats times at most; what it then lacks is reported.
+Each source has a weight schedule w(t) over training time t in [0, 1], piecewise linear, scaled so that its integral is the target
+share. Its cumulative token demand after time t is D(t) = size of all documents x integral of w from 0 to t, a piecewise quadratic
+that is inverted exactly. A source's documents are laid end to end in a pseudo-random order (running totals of tokens from a global
+range sort, so no source is gathered in one task); the copy of a document that begins at token c is wanted at the time t with
+D(t) = c. Range-sorting all copies by that time gives their training positions. A source is passed through max_repeats times at
+most: it is exhausted at the time t with D(t) = max_repeats x its size, and one that is exhausted before the end cannot reach its
+share.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +22,28 @@ from trackloom.operators.rangesort import range_positions, range_running_totals
 from trackloom.session import checkpointed
 
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
-#: Of a target table as collected to plan a mixture: more sources than this are refused.
-MAX_SOURCES = 100_000
+#: Up to so many sources the plan is broadcast; beyond, it is joined by source, salted.
+BROADCAST_SOURCES = 100_000
+SALTS = 32
+
+# Fixed value: how this public vocabulary divides a text before pairs are merged.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+Schedule = list[tuple[float, float]]
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """A function from a text to its number of tokens. path: ranks (.tiktoken) or a tokenizer file (.json)."""
+    if path.endswith(".tiktoken"):
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: len(encoding.encode_ordinary(text))
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,7 +51,7 @@ def _tokenizer(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return tokenizer
+    return lambda text: len(tokenizer.encode(text, add_special_tokens=False))
 
 
 def token_count(text: Column, tokenizer_file: str = TOKENIZER_FILE) -> Column:
@@ -42,19 +59,9 @@ def token_count(text: Column, tokenizer_file: str = TOKENIZER_FILE) -> Column:
 
     @F.pandas_udf("bigint")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = _tokenizer(tokenizer_file)
+        count = _tokenizer(tokenizer_file)
         for texts in batches:
-            out: list[int] = []
-            chunk: list[str] = []
-            size = 0
-            for t in texts:
-                chunk.append(t or "")
-                size += len(chunk[-1])
-                if size > 1_000_000:
-                    out += [len(e) for e in tokenizer.encode_batch(chunk, add_special_tokens=False)]
-                    chunk, size = [], 0
-            out += [len(e) for e in tokenizer.encode_batch(chunk, add_special_tokens=False)]
-            yield pd.Series(out, dtype="int64")
+            yield pd.Series([count(t) if t else 0 for t in texts], dtype="int64")
 
     return counted(text)
 
@@ -64,67 +71,97 @@ def source_sizes(documents: DataFrame, source: str = "source", tokens: str = "to
     return documents.groupBy(F.col(source).alias("source")).agg(F.sum(tokens).alias("size"))
 
 
-def plan_shares(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per listed source: size, demand = target_share x size of all documents, supply = max_repeats x size, reachable,
-    tokens taken and actual_share of the tokens taken from all sources. Sources that are missing have size 0; documents of
-    sources that are not listed count in the size of all documents only.
+def schedule_segments(schedule: Schedule) -> list[tuple[float, float, float, float]]:
+    """(start, demand before it, weight at its start, slope) per stretch of a piecewise linear schedule, scaled to integral 1.
+
+    schedule: (time, weight) knots, times rising from 0 to 1, weights not negative and not all 0.
+    """
+    times, weights = [t for t, _ in schedule], [w for _, w in schedule]
+    if len(schedule) < 2 or times[0] != 0 or times[-1] != 1 or any(b <= a for a, b in zip(times, times[1:])) or min(weights) < 0 or max(weights) == 0:
+        raise ValueError("a schedule needs rising times from 0 to 1 and weights that are not negative and not all 0")
+    areas = [(b - a) * (v + w) / 2 for a, b, v, w in zip(times, times[1:], weights, weights[1:])]
+    whole, out, done = sum(areas), [], 0.0
+    for i, area in enumerate(areas):
+        out.append((times[i], done, weights[i] / whole, (weights[i + 1] - weights[i]) / (times[i + 1] - times[i]) / whole))
+        done += area / whole
+    return out
+
+
+EVEN: Schedule = [(0.0, 1.0), (1.0, 1.0)]
+
+
+def with_schedules(targets: DataFrame, schedules: dict[str, Schedule] | None = None) -> DataFrame:
+    """targets with `segments` of each source's schedule; sources without one keep an even weight."""
+    kind = "array<struct<start:double,before:double,weight:double,slope:double>>"
+    rows = [(s, schedule_segments(own)) for s, own in (schedules or {}).items()]
+    table = targets.sparkSession.createDataFrame(rows, f"source string, segments {kind}")
+    even = F.lit(None).cast(kind)
+    even = F.coalesce(even, F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("start", "before", "weight", "slope"), s)]) for s in schedule_segments(EVEN)]))
+    return targets.join(F.broadcast(table), "source", "left").withColumn("segments", F.coalesce("segments", even))  # one row per schedule given
+
+
+def wanted_time(share: Column, segments: Column) -> Column:
+    """The time at which the cumulative demand reaches `share` of the whole: the schedule's integral, inverted in its stretch."""
+    s = F.element_at(F.filter(segments, lambda x: (x["before"] <= share) & ((x["weight"] > 0) | (x["slope"] > 0) | (x["before"] == share))), -1)
+    rest = share - s["before"]
+    root = F.sqrt(F.greatest(s["weight"] * s["weight"] + 2 * s["slope"] * rest, F.lit(0.0)))
+    bottom = s["weight"] + root
+    return F.when(rest <= 0, s["start"]).otherwise(s["start"] + 2 * rest / bottom)
+
+
+def plan_shares(sizes: DataFrame, targets: DataFrame, schedules: dict[str, Schedule] | None = None) -> DataFrame:
+    """Per listed source: size, demand = target_share x size of all documents, supply = max_repeats x size, segments of its
+    schedule, and exhausted_at: when its documents are used up, or null if they last to the end. Sources that are missing have
+    size 0; documents of sources that are not listed count in the size of all documents only.
     """
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_total"))
-    plan = targets.join(sizes, "source", "left").crossJoin(F.broadcast(total))  # total: one row
+    plan = with_schedules(targets, schedules).join(sizes, "source", "left").crossJoin(F.broadcast(total))  # total: one row
     plan = plan.withColumn("size", F.coalesce("size", F.lit(0)))
     plan = plan.withColumns({"demand": F.col("target_share") * F.col("_total"), "supply": F.col("max_repeats") * F.col("size")})
-    return plan.withColumn("reachable", F.col("demand") <= F.col("supply")).drop("_total")
+    short = F.col("demand") > F.col("supply")
+    used_up = F.when(short, wanted_time(F.col("supply") / F.col("demand"), F.col("segments")))
+    return plan.withColumn("exhausted_at", used_up).drop("_total")
+
+
+def counted_documents(documents: DataFrame, text: str = "text", tokenizer_file: str = TOKENIZER_FILE, *kept: str) -> DataFrame:
+    """(kept..., source, tokens), written to the checkpoint folder: texts are tokenised once."""
+    return checkpointed(documents.select(*kept, "source", token_count(F.col(text), tokenizer_file).alias("tokens")))
 
 
-def unreachable_sources(documents: DataFrame, targets: DataFrame, text: str = "text", tokenizer_file: str = TOKENIZER_FILE) -> DataFrame:
-    """(source) of the targets whose demand exceeds max_repeats passes through their documents."""
+def unreachable_sources(documents: DataFrame, targets: DataFrame, text: str = "text", schedules: dict[str, Schedule] | None = None,
+                        tokenizer_file: str = TOKENIZER_FILE) -> DataFrame:
+    """(source) of the targets that the mixture's plan exhausts before the end of training."""
     counted = documents.select("source", token_count(F.col(text), tokenizer_file).alias("tokens"))
     sizes = checkpointed(source_sizes(counted))  # used twice; the texts are tokenised once
-    return plan_shares(sizes, targets).filter(~F.col("reachable")).select("source")
+    return plan_shares(sizes, targets, schedules).filter(F.col("exhausted_at").isNotNull()).select("source").distinct()
 
 
-def linear_schedule(slope: float = 0.0, knots: int = 33) -> tuple[np.ndarray, np.ndarray]:
-    """Times and cumulative weight of w(t) = 1 + slope (2t - 1), whose integral is 1. |slope| <= 1."""
-    if not -1 <= slope <= 1:
-        raise ValueError("slope must be in [-1, 1]: weights are not negative")
-    t = np.linspace(0, 1, knots)
-    return t, t + slope * (t * t - t)
+def _joined(placed: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
+    """placed with its source's plan. Beyond BROADCAST_SOURCES by a shuffle, with every source cut in SALTS parts."""
+    if sources <= BROADCAST_SOURCES:
+        return placed.join(F.broadcast(plan), "source")
+    salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return placed.withColumn("_salt", F.pmod(F.xxhash64("before"), F.lit(SALTS)).cast("int")).join(salted, ["source", "_salt"]).drop("_salt")
 
 
-def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", slopes: dict[str, float] | None = None,
+def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", schedules: dict[str, Schedule] | None = None,
             tokenizer_file: str = TOKENIZER_FILE, seed: int = 17) -> DataFrame:
     """(key, source, repeat, tokens, time, position): the chosen copies in training order; position from 0.
 
-    slopes: per source, how its weight changes over training (-1 early only, 0 even, 1 late only). A source that cannot reach
-    its demand is used max_repeats times in full. Documents of no tokens and of unlisted sources are not chosen. Ties in time
-    are ordered by source, repeat and key. Empty documents give an empty result.
+    schedules: per source, (time, weight) knots of how its weight changes over training; even for the others. A source that
+    cannot reach its demand is used max_repeats times in full. Documents of no tokens, of unlisted and of null sources are not
+    chosen. Ties in time are ordered by source, repeat and key. Empty documents give an empty result.
     """
-    counted = documents.select(F.col(key), "source", token_count(F.col(text), tokenizer_file).alias("tokens")).filter("tokens > 0")
-    counted = checkpointed(counted)
-    placed = range_running_totals(counted, [F.col("source"), F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], "tokens")
+    counted = counted_documents(documents, text, tokenizer_file, key)
+    plan = plan_shares(source_sizes(counted), targets, schedules)
+    placed = range_running_totals(counted.filter("tokens > 0"), [F.col("source"), F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], "tokens")
     first = placed.groupBy("source").agg(F.min("before").alias("_first"))
-    rows = plan_shares(source_sizes(counted), targets).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    plan = documents.sparkSession.createDataFrame(
-        [(r["source"], int(r["size"]), float(min(r["demand"], r["supply"])), float(r["demand"]), int(r["max_repeats"])) for r in rows],
-        "source string, size long, wanted double, demand double, max_repeats int",
-    )
-    small = F.broadcast(plan.join(first, "source"))  # one row per listed source, at most MAX_SOURCES
-    copies = placed.join(small, "source").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.greatest(F.col("max_repeats") - 1, F.lit(0)))))
+    plan = checkpointed(plan.join(first, "source").withColumn("_wanted", F.least("demand", F.col("supply").cast("double"))))
+    copies = _joined(placed, plan.select("source", "size", "demand", "max_repeats", "segments", "_first", "_wanted"), plan.count())
+    copies = copies.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.greatest(F.col("max_repeats") - 1, F.lit(0)))))
     copies = copies.withColumn("_at", F.col("repeat") * F.col("size") + F.col("before") - F.col("_first"))
-    copies = copies.filter((F.col("_at") < F.col("wanted")) & (F.col("max_repeats") > 0))
-    curves = {s: linear_schedule(a) for s, a in (slopes or {}).items()}
-
-    @F.pandas_udf("double")
-    def wanted_at(source: pd.Series, share: pd.Series) -> pd.Series:
-        out = share.to_numpy(dtype=float, copy=True)
-        for name, (times, weights) in curves.items():
-            own = (source == name).to_numpy()
-            out[own] = np.interp(out[own], weights, times)
-        return pd.Series(out)
-
-    timed = copies.withColumn("time", wanted_at(F.col("source"), F.col("_at") / F.col("demand")))
+    copies = copies.filter((F.col("_at") < F.col("_wanted")) & (F.col("max_repeats") > 0))
+    timed = copies.withColumn("time", wanted_time(F.col("_at") / F.col("demand"), F.col("segments")))
     timed = timed.select(key, "source", "repeat", "tokens", "time")
     return range_positions(timed, [F.col("time"), F.col("source"), F.col("repeat"), F.col(key)])
 
