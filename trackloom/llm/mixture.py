@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from trackloom.operators.rangesort import range_positions, range_running_totals
 from trackloom.session import checkpointed
 
-TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Up to so many sources the plan is broadcast; beyond, it is joined by source, salted.
 BROADCAST_SOURCES = 100_000
 SALTS = 32
