@@ -18,7 +18,7 @@ def test_recall(spark, dims):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(1500, dims)) * np.linspace(2, 0.5, dims)
     df = table(spark, vectors)
-    index = N.build(df, lists=30, sample=800)
+    index = N.build(df, region_vectors=100, sample=800)
     queries = df.filter("id % 20 = 0").selectExpr("id AS query", "id AS self", "v")
     got = {}
     for r in N.search(index, queries, 10).collect():
@@ -29,13 +29,15 @@ def test_recall(spark, dims):
         assert all(h == 10 for h in hits)
 
 
-def test_hot_list_and_copies(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK_VECTORS", 50)
-    monkeypatch.setattr(N, "BLOCK_QUERIES", 20)
+@pytest.mark.parametrize("crowd", [64, 10**6])
+def test_hot_list_and_copies(spark, monkeypatch, crowd):
+    """A crowd of copies, indexed by its first ids or, if it goes unnoticed, in blocks."""
+    monkeypatch.setattr(N, "BLOCK", 60)
+    monkeypatch.setattr(N, "CROWD", crowd)
     rng = np.random.default_rng(3)
     vectors = np.vstack([np.tile([0.5, 0.5, 0.5, 0.5], (200, 1)), rng.random((300, 4))])
     df = table(spark, vectors)
-    found = N.search(N.build(df, lists=5), df.selectExpr("id AS query", "id AS self", "v"), 3).collect()
+    found = N.search(N.build(df, region_vectors=100), None, 3).collect()
     assert len(found) == 1500
     for r in found:
         assert r["squared"] == pytest.approx(((vectors[r["query"]] - vectors[r["id"]]) ** 2).sum(), abs=1e-12)
@@ -53,11 +55,24 @@ def test_small(spark):
     assert [r["id"] for r in N.search(two, queries, 3).collect()] == [0]
 
 
-def test_abandoning_keeps_what_counts():
+@pytest.mark.parametrize("dims", [4, 64])
+def test_abandoning_keeps_what_counts(dims):
+    """Within one task, where the vectors are cut into lists."""
     rng = np.random.default_rng(4)
-    block = rng.random((64, 500))
-    q = rng.random(64)
-    d = ((block - q[:, None]) ** 2).sum(0)
-    limit = np.sort(d)[20]
-    _, at, squared = next(N.scan(q[None], np.array([limit]), block, 10))
-    assert len(set(at) & set(np.argsort(d)[:10])) >= 9 and np.allclose(squared, d[at])
+    x = rng.normal(size=(3000, dims)) * np.linspace(2, 0.2, dims)
+    ids = np.arange(3000)
+    row, at, squared = N.knn(ids, x, ids[:100], x[:100], np.full(100, np.inf), 10, N.rotation(dims))
+    hits = [len(set(at[row == q]) & set(exact(x, q, 10))) for q in range(100)]
+    assert np.mean(hits) / 10 >= (1 if dims == 4 else 0.9) and np.allclose(squared, ((x[row] - x[at]) ** 2).sum(1))
+    assert (np.bincount(row) == 10).all()
+
+
+def test_few_vectors_far_apart_have_finite_bounds(spark):
+    """Regions that hold fewer than k vectors: the bound comes from the next nearest ones."""
+    rng = np.random.default_rng(6)
+    vectors = np.vstack([rng.normal(size=(4, 4)) * 0.01 + 10 * c for c in range(40)])
+    index = N.build(table(spark, vectors), region_vectors=4)
+    got = {}
+    for r in N.search(index, None, 6).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["id"]))
+    assert all([i for _, i in sorted(got[q])] == exact(vectors, q, 6) for q in range(160))
