@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.clusters import matrix, nearest
-from trackloom.session import checkpointed
+from trackloom.session import checkpointed, partitions
 
 #: The regions are fitted on at most this many vectors; all vectors are indexed.
 FIT_SAMPLE = 50_000
@@ -332,7 +332,10 @@ def _met(index: Index, rows: DataFrame, k: int, first: bool) -> DataFrame:
             }
         return pa.table(columns)
 
-    return rows.groupBy("region", "block", "part").applyInArrow(meet, schema)
+    # By number, so that tasks of few bytes but much work are not put together.
+    groups = int((np.maximum(1, -(-index.sizes // BLOCK)) ** 2).sum())
+    spread = rows.repartition(max(groups, partitions(rows.sparkSession)), "region", "block", "part")
+    return spread.groupBy("region", "block", "part").applyInArrow(meet, schema)
 
 
 def _base(index: Index, k: int) -> DataFrame:
