@@ -56,7 +56,7 @@ def test_recommend_live_per_request(spark, small):
     cat, requests = validate.catalogue(read_table(spark, small, "tracks")), read_table(spark, small, "recommend_requests")
     tracks = sorted((r.asDict() for r in cat.collect()), key=lambda t: t["id"])
     got = {}
-    for r in recommend_live(requests, cat).orderBy("request_id", "rank").collect():
+    for r in recommend_live(requests, cat, None).orderBy("request_id", "rank").collect():
         got.setdefault(r["request_id"], []).append(r)
     asked = requests.collect()
     assert any(r["top_k"] > 10 for r in asked) and any(r["top_k"] < 10 for r in asked)

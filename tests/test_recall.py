@@ -24,7 +24,7 @@ def nearest(rows, query, k):
 
 
 def test_recall(engine):
-    vecs = {r["id"]: np.array(r["embedding"]) for r in engine.tracks.select("id", "embedding").collect()}
+    vecs = {r["id"]: np.array(r["embedding"]) for r in engine.vectors().collect()}
     ids, shares = sorted(vecs), []
     for favs in (ids[7:10], [ids[100], ids[3000], ids[5000]], [ids[2500]]):
         taste = np.mean([vecs[i] for i in favs], axis=0)
@@ -35,7 +35,7 @@ def test_recall(engine):
     for text in ("asdkfj qwerty", "energetic"):
         query = composed_query(engine.embedder.vector(text), vectors.query_audio_vector(parse_query(text).filters))
         allowed = engine.tracks.filter("energy > 0.7") if text == "energetic" else engine.tracks
-        want = nearest([(r["id"], r["embedding"]) for r in allowed.select("id", "embedding").collect()], query, 10)
+        want = nearest([(r["id"], r["embedding"]) for r in engine.vectors(allowed).collect()], query, 10)
         shares.append(len(want & {r["track_id"] for r in engine.search(text).collect()}) / 10)
     assert np.mean(shares) >= 0.9
 

@@ -144,7 +144,7 @@ def test_early_stop(spark, enough):
 def test_engine(spark, small, tmp_path):
     cat = validate.catalogue(read_table(spark, small, "tracks"))
     engine = Engine.build(cat)
-    rows = {r["id"]: r for r in engine.tracks.select("id", "embedding", "valence", "popularity", "genre").collect()}
+    rows = {r["id"]: r for r in engine.tracks.join(engine.vectors(), "id").select("id", "embedding", "valence", "popularity", "genre").collect()}
     assert all(np.linalg.norm(r["embedding"]) == pytest.approx(1, abs=1e-6) for r in rows.values())
     ids = sorted(rows)[:3]
     got = engine.recommend([*ids, ids[0]], "happy", 5).collect()
@@ -155,7 +155,7 @@ def test_engine(spark, small, tmp_path):
     for r in got:
         track = rows[r["track_id"]]
         assert r["filter_level"] == "full" and r["score"] == pytest.approx(0.85 * np.dot(track["embedding"], taste) + 0.15 * track["popularity"] / 100 + 0.05)
-    exact = Engine(engine.tracks)
+    exact = Engine(engine.tracks, engine.stats)
     best = exact.recommend(ids, None, 4).collect()
     everyone = sorted((-round(float(np.dot(r["embedding"], taste)), 12), i) for i, r in rows.items() if i not in ids)[:4]
     assert {r["track_id"] for r in best} == {i for _, i in everyone}
@@ -172,6 +172,34 @@ def test_engine(spark, small, tmp_path):
     assert again.search("chill acoustic folk", 5).collect() == engine.search("chill acoustic folk", 5).collect()
     with pytest.raises(RuntimeError):
         again.check_ids(cat.limit(5))
+    stored = spark.read.parquet(f"{tmp_path}/vectors")
+    with pytest.raises(RuntimeError):
+        Engine.check_norms(stored.withColumn("embedding", F.transform("embedding", lambda x: x * 2)))
+    plan = bm25.bm25_stored(again.postings, again.frequencies, again.corpus, cat.select("id", F.lit(3).alias("dl")), "id", "acoustic folk")._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term" in plan or "PushedFilters: [IsNotNull(id), In(term" in plan or "In(term, [acoustic,folk])" in plan
+    exact.save(str(tmp_path / "plain"))  # an engine without a hash index
+    plainly = Engine.load(spark, str(tmp_path / "plain"), cat)
+    assert plainly.index is None and plainly.search("sad jazz", 4).collect() == exact.search("sad jazz", 4).collect()
+
+
+def test_another_embedder(spark, small):
+    """An embedder needs column and vector only; the fast paths of the built-in one agree with it."""
+    built_in = vectors.HashEmbedder(16)
+
+    class Plain:
+        dims = 16
+        column, vector = built_in.column, built_in.vector
+
+    cat = validate.catalogue(read_table(spark, small, "tracks")).limit(200)
+    a, b = Engine.build(cat, Plain()), Engine.build(cat, built_in)
+    assert sorted(map(tuple, a.index.collect())) == sorted(map(tuple, b.index.collect()))
+    x, y = ({r["id"]: r["embedding"] for r in e.vectors().collect()} for e in (a, b))
+    assert all(np.allclose(x[i], y[i]) for i in x)
+    got = [[(r["track_id"], round(r["score"], 6)) for r in e.search("chill folk", 5).collect()] for e in (a, b)]
+    assert got[0] == got[1]
+
+
+def test_zero_vectors():
     assert np.linalg.norm(composed_query(np.zeros(384), [0.0] * 9)) == 0
 
 

@@ -77,6 +77,19 @@ def bm25_from_index(index: DataFrame, lengths: DataFrame, key: str, query: str)
     return scored.groupBy(key).agg(F.sum(weight).alias("bm25"))
 
 
+def bm25_stored(index: DataFrame, frequencies: DataFrame, corpus: tuple[int, float], docs: DataFrame, key: str, query: str) -> DataFrame:
+    """(key, bm25) of those of docs (key, dl) that hold a query term, from stored postings (term, key, tf) sorted by term: the terms
+    reach the scan as a filter, so only their row groups are read. corpus: documents and their mean length."""
+    asked = tokens_of(query)
+    terms = list(dict.fromkeys(asked))
+    known = {r["term"]: r["df"] for r in frequencies.filter(F.col("term").isin(terms)).collect()}  # one row per query term
+    n, mean = corpus
+    score = F.lit(0.0)
+    for t, df in known.items():
+        score = F.when(F.col("term") == t, asked.count(t) * term_weight(idf(F.lit(float(n)), F.lit(float(df))), F.col("tf"), F.col("dl"), F.lit(float(mean or 1.0)))).otherwise(score)
+    return index.filter(F.col("term").isin(terms)).join(docs, key).groupBy(key).agg(F.sum(score).alias("bm25"))
+
+
 def max_normalized(scores: DataFrame, score: str = "bm25") -> DataFrame:
     """score over the largest of all rows; a largest of 0 counts as 1. A negative largest turns signs round, as division does."""
     top = scores.agg(F.max(score).alias("_max"))

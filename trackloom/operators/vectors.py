@@ -60,6 +60,10 @@ def compose(text: Column, audio: Column, text_weight: float = TEXT_WEIGHT, audio
     return composed(text, audio)
 
 
+def _columns(values: list[pd.Series]) -> np.ndarray:
+    return np.column_stack([v.to_numpy(dtype=float) for v in values])
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms == 0, 1, norms)
@@ -140,30 +144,65 @@ class HashEmbedder:
 
         return filled(text)
 
-    def composed(self, text: Column, audio: Column) -> Column:
-        """compose(column(text), audio) in one crossing to Python."""
+    def composed(self, text: Column, audio: list[Column]) -> Column:
+        """array<float>: the unit vector of weighted text and unit audio, in one crossing to Python."""
 
-        @F.pandas_udf("array<double>")
-        def filled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @F.pandas_udf("array<float>")
+        def filled(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            known: dict[str, np.ndarray] = {}
+            for texts, *audios in batches:
+                rows = np.array(self._known(texts, known, self.vector)).reshape(len(texts), self.dims) * TEXT_WEIGHT
+                yield pd.Series(list(_unit(np.hstack([rows, _unit(_columns(audios)) * AUDIO_WEIGHT])).astype(np.float32)), dtype=object)
+
+        return filled(text, *audio)
+
+    def similarity(self, text: Column, audio: list[Column], query: np.ndarray) -> Column:
+        """The cosine of composed(text, audio) with a unit query, without making the vectors: per distinct text one inner product."""
+        by_text, by_audio = query[: self.dims] * TEXT_WEIGHT, query[self.dims :] * AUDIO_WEIGHT
+
+        def measured(t: str) -> np.ndarray:
+            v = self.vector(t)
+            return np.array([v @ by_text, (v @ v) * TEXT_WEIGHT**2])
+
+        @F.pandas_udf("double")
+        def cosine(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             known: dict[str, np.ndarray] = {}
-            for texts, audios in batches:
-                if not len(texts):
-                    yield pd.Series([], dtype=object)
-                    continue
-                rows = np.stack(self._vectors(texts, known)) * TEXT_WEIGHT
-                yield pd.Series(list(_unit(np.hstack([rows, _unit(np.stack(audios.to_numpy()).astype(float)) * AUDIO_WEIGHT]))), dtype=object)
+            for texts, *audios in batches:
+                parts = np.array(self._known(texts, known, measured)).reshape(-1, 2)
+                unit = _unit(_columns(audios))
+                norm = np.sqrt(parts[:, 1] + (unit**2).sum(1) * AUDIO_WEIGHT**2)
+                yield pd.Series((parts[:, 0] + unit @ by_audio) / np.where(norm == 0, 1, norm))
+
+        return cosine(text, *audio)
+
+    def bucket_keys(self, text: Column, audio: list[Column], planes: np.ndarray) -> Column:
+        """array<int>: lsh.bucket_keys of composed(text, audio), without making the vectors; length does not change a side."""
+        tables, bits, _ = planes.shape
+        flat, powers = planes.reshape(tables * bits, -1).T, 1 << np.arange(bits)
+        by_text, by_audio = flat[: self.dims] * TEXT_WEIGHT, flat[self.dims :] * AUDIO_WEIGHT
+
+        @F.pandas_udf("array<int>")
+        def keys(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            known: dict[str, np.ndarray] = {}
+            for texts, *audios in batches:
+                sides = np.array(self._known(texts, known, lambda t: self.vector(t) @ by_text)).reshape(-1, tables * bits) + _unit(_columns(audios)) @ by_audio
+                yield pd.Series(list(((sides > 0).reshape(-1, tables, bits) * powers).sum(2).astype("int32")), dtype=object)
 
-        return filled(text, audio)
+        return keys(text, *audio)
 
     def _vectors(self, texts: pd.Series, known: dict[str, np.ndarray]) -> list[np.ndarray]:
-        """Descriptions repeat, so vectors are kept, up to 10,000 per task."""
+        return self._known(texts, known, self.vector)
+
+    @staticmethod
+    def _known(texts: pd.Series, known: dict[str, np.ndarray], made) -> list[np.ndarray]:
+        """made(text) of each. Descriptions repeat, so results are kept, up to 10,000 per task."""
         if len(known) > 10_000:
             known.clear()
         out = []
         for t in texts:
             t = t or ""
             if t not in known:
-                known[t] = self.vector(t)
+                known[t] = made(t)
             out.append(known[t])
         return out
 

@@ -727,27 +727,44 @@ def bench_summary(t):
 
 
 # ---- whole searches ----
-@cache
-def _search_sql() -> str:
-    """Exact hybrid search as SQL. The query's own vector, made on the driver, is a literal."""
-    parsed, dims = parse.parse_query(SEARCH_QUERY), config.TEXT_DIMS
-    text = vectors.HashEmbedder().vector(SEARCH_QUERY)
-    q = search.composed_query(text, vectors.query_audio_vector(parsed.filters))
-    asked = T.tokens_of(SEARCH_QUERY)
-    terms = ", ".join(f"('{x}', {asked.count(x)})" for x in dict.fromkeys(asked))
+def _sql_embedded() -> str:
+    """CTEs: sl, the signed token counts of each track's description by slot; tv, their length; au, the unit audio vector; nn, the
+    length of the composed vector."""
+    dims = config.TEXT_DIMS
     aud = ", ".join(f"CASE WHEN max({f}) OVER () = min({f}) OVER () THEN 0.5 ELSE ({f} - min({f}) OVER ()) / (max({f}) OVER () - min({f}) OVER ()) END" for f in config.AUDIO_FEATURES)
-    return f"""WITH {_CAT}, q AS (SELECT {[float(x) for x in q]}::DOUBLE[] AS q),
-m AS (SELECT id, trim(genre) AS g, list_filter(list_transform(string_split(mood_tags, '|'), lambda x: trim(x)), lambda x: x <> '') AS m FROM cat),
+    return f"""m AS (SELECT id, trim(genre) AS g, list_filter(list_transform(string_split(mood_tags, '|'), lambda x: trim(x)), lambda x: x <> '') AS m FROM cat),
 st AS (SELECT id, CASE WHEN len(m) > 0 THEN g || ' music that feels ' || array_to_string(m, ', ') ELSE g || ' music' END AS s FROM m),
 tk AS (SELECT id, md5(unnest({_TOKENS.format("s")})) AS d FROM st),
 sl AS (SELECT id, ('0x' || d[1:7])::INT % {dims} AS slot, sum(CASE WHEN ('0x' || d[8:14])::INT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS w FROM tk GROUP BY ALL),
-tv AS (SELECT id, sqrt(sum(w * w)) AS n, sum(w * q[slot + 1]) AS d FROM sl, q GROUP BY id),
-au AS (SELECT id, [{aud}] AS a FROM cat),
-an AS (SELECT id, a, sqrt(list_inner_product(a, a)) AS n FROM au),
-cs AS (SELECT id, (0.6 * coalesce(tv.d / nullif(tv.n, 0), 0) + 0.4 * coalesce(list_inner_product(a, q[{dims + 1}:]) / nullif(an.n, 0), 0))
-  / sqrt(0.36 * (coalesce(tv.n, 0) > 0)::INT + 0.16 * (an.n > 0)::INT) AS cosine FROM an CROSS JOIN q LEFT JOIN tv USING (id)),
-lvl AS (SELECT CASE WHEN count_if(genre = 'pop' AND valence > 0.6) >= 30 THEN 'full' WHEN count_if(genre = 'pop') >= 30 THEN 'genre_only' ELSE 'unrestricted' END AS l FROM cat),
-allowed AS (SELECT cat.*, l FROM cat, lvl WHERE l = 'unrestricted' OR (genre = 'pop' AND (l = 'genre_only' OR valence > 0.6))),
+tv AS (SELECT id, sqrt(sum(w * w)) AS n FROM sl GROUP BY id),
+a0 AS (SELECT id, [{aud}] AS a FROM cat), an AS (SELECT id, a, sqrt(list_inner_product(a, a)) AS n FROM a0),
+au AS (SELECT id, list_transform(a, lambda x: CASE WHEN n = 0 THEN 0 ELSE x / n END) AS a, n FROM an),
+nn AS (SELECT au.id, a, coalesce(tv.n, 0) AS tn, sqrt(0.36 * (coalesce(tv.n, 0) > 0)::INT + 0.16 * (au.n > 0)::INT) AS n FROM au LEFT JOIN tv USING (id)),
+cs AS (SELECT nn.id, (0.6 * coalesce(any_value(d.d), 0) + 0.4 * list_inner_product(any_value(a), (SELECT audio FROM q))) / any_value(n) AS cosine
+  FROM nn LEFT JOIN (SELECT id, sum(w / tn * t.x) AS d FROM sl JOIN nn USING (id) JOIN qt0 t USING (slot) GROUP BY id) d USING (id) GROUP BY nn.id)"""
+
+
+def _sql_levels(parsed: ParsedQuery) -> str:
+    """CTE allowed: the rows of the first level of the ladder with enough, with the level l and the bonus."""
+    genre = f"list_contains({_sql_list(parsed.genres)}, genre)" if parsed.genres else "true"
+    each = [f"{f} {op} {v}" for f, op, v in parsed.filters]
+    both = " AND ".join([genre, *each])
+    count = " + ".join([*[f"({c})::INT" for c in each], "0"])
+    return f"""lvl AS (SELECT CASE WHEN count_if({both}) >= {config.MIN_POOL} THEN 'full' WHEN count_if({genre}) >= {config.MIN_POOL} THEN 'genre_only' ELSE 'unrestricted' END AS l FROM cat),
+allowed AS (SELECT cat.*, l, 0.05::DOUBLE * CASE l WHEN 'full' THEN {count} WHEN 'genre_only' THEN {"1" if parsed.genres else "0"} ELSE 0 END AS bonus FROM cat, lvl
+  WHERE l = 'unrestricted' OR (l = 'genre_only' AND {genre}) OR (l = 'full' AND {both}))"""
+
+
+@cache
+def _search_sql(text: str) -> str:
+    """Exact hybrid search as SQL. The query's own vector, made on the driver, is a literal."""
+    parsed, dims = parse.parse_query(text), config.TEXT_DIMS
+    q = search.composed_query(vectors.HashEmbedder().vector(text), vectors.query_audio_vector(parsed.filters))
+    asked = T.tokens_of(text)
+    terms = ", ".join(f"('{x}', {asked.count(x)})" for x in dict.fromkeys(asked))
+    slots = ", ".join(f"({i}, {float(x)}::DOUBLE)" for i, x in enumerate(q[:dims]) if x)
+    return f"""WITH {_CAT}, q AS (SELECT {[float(x) for x in q[dims:]]}::DOUBLE[] AS audio), qt0(slot, x) AS (VALUES {slots}),
+{_sql_embedded()}, {_sql_levels(parsed)},
 d AS (SELECT id, {_TOKENS.format("concat_ws(' ', title, artist, genre, replace(mood_tags, '|', ' '))")} AS w FROM cat),
 p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM d) GROUP BY ALL),
 qt(term, times) AS (VALUES {terms}), c AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM d), f AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY term),
@@ -755,31 +772,80 @@ s AS (SELECT d.id, coalesce(sum(times * (1 + ln((n - df + 0.5::DOUBLE) / (df + 0
   FROM d CROSS JOIN c LEFT JOIN (p JOIN qt USING (term) JOIN f USING (term)) ON p.id = d.id WHERE d.id IN (SELECT id FROM allowed) GROUP BY d.id),
 sn AS (SELECT id, b / (SELECT CASE WHEN max(b) = 0 THEN 1 ELSE max(b) END FROM s) AS bm25 FROM s),
 best AS (SELECT allowed.*, cosine, bm25 FROM allowed JOIN cs USING (id) JOIN sn USING (id) ORDER BY cosine DESC, id LIMIT 10),
-bl AS (SELECT *, CASE WHEN l = 'unrestricted' THEN 0 ELSE 0.05::DOUBLE END AS bonus FROM best),
-sc AS (SELECT *, 0.65 * cosine + 0.25 * bm25 + 0.10 * (popularity / 100) + bonus AS score FROM bl)
+sc AS (SELECT *, 0.65 * cosine + 0.25 * bm25 + 0.10 * (popularity / 100) + bonus AS score FROM best)
 SELECT (row_number() OVER (ORDER BY score DESC, cosine DESC, id))::INT AS rank, id AS track_id, title, artist, genre, round(score, 6) AS score, round(cosine, 6) AS cosine, round(bm25, 6) AS bm25,
 round(popularity / 100, 6) AS popularity_norm, l AS filter_level FROM sc"""
 
 
-@query(_search_sql())
+@cache
+def _recommend_sql(mood: str) -> str:
+    """Recommendation from the first three tracks of popularity 60 and more, as SQL."""
+    dims = config.TEXT_DIMS
+    wide = f"""{_sql_embedded()}, own AS (SELECT id FROM cat WHERE popularity >= 60 ORDER BY row_num LIMIT 3)"""
+    base, cosine = wide.split("cs AS (", 1)
+    cosine, own = cosine.rsplit(", own AS", 1)
+    return f"""WITH {_CAT}, {base} own AS{own},
+x AS (SELECT slot, sum(0.6 * w / tn / n) / 3 AS x FROM sl JOIN nn USING (id) WHERE id IN (SELECT id FROM own) GROUP BY slot
+  UNION ALL SELECT {dims} + i - 1 AS slot, sum(0.4 * a[i] / n) / 3 AS x FROM nn, range(1, {len(config.AUDIO_FEATURES) + 1}) r(i) WHERE id IN (SELECT id FROM own) GROUP BY i),
+u AS (SELECT slot, x / (SELECT sqrt(sum(x * x)) FROM x) AS x FROM x),
+q AS (SELECT list(x ORDER BY slot) AS audio FROM u WHERE slot >= {dims}), qt0 AS (SELECT slot, x FROM u WHERE slot < {dims}),
+cs AS ({cosine}, {_sql_levels(ParsedQuery("", [], [mood], parse.mood_filters([mood])))},
+best AS (SELECT allowed.*, cosine FROM allowed JOIN cs USING (id) WHERE id NOT IN (SELECT id FROM own) ORDER BY cosine DESC, id LIMIT 10),
+sc AS (SELECT *, {config.RECOMMEND_W_COSINE} * cosine + {config.RECOMMEND_W_POPULARITY} * (popularity / 100) + bonus AS score FROM best)
+SELECT (row_number() OVER (ORDER BY score DESC, cosine DESC, id))::INT AS rank, id AS track_id, title, artist, genre, round(score, 6) AS score, round(cosine, 6) AS cosine,
+round(popularity / 100, 6) AS popularity_norm, l AS filter_level FROM sc"""
+
+
+INDEXED_QUERY, RECOMMEND_MOOD = "fast energetic electronic", "happy"
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    scored = [c for c in ("score", "cosine", "bm25", "popularity_norm") if c in found.columns]
+    return found.select("rank", "track_id", "title", "artist", "genre", *[r6(F.col(c), c) for c in scored], "filter_level")
+
+
+@query(_search_sql(SEARCH_QUERY))
 def hybrid_search(t):
-    found = search.Engine.build(catalogue(t), indexed=False).search(SEARCH_QUERY)
-    rounded = [r6(F.col(c), c) for c in ("score", "cosine", "bm25", "popularity_norm")]
-    return found.select("rank", "track_id", "title", "artist", "genre", *rounded, "filter_level")
+    return _shown(search.Engine.build(catalogue(t), indexed=False).search(SEARCH_QUERY))
 
 
-@query(None)
+@query(_search_sql(INDEXED_QUERY))
 def hybrid_search_indexed(t):
-    return search.Engine.build(catalogue(t)).search("fast energetic electronic")
+    return _shown(search.Engine.build(catalogue(t)).search(INDEXED_QUERY))
 
 
-@query(None)
+@query(_recommend_sql(RECOMMEND_MOOD))
 def recommend_local(t):
     cat = catalogue(t)
     ids = [r["id"] for r in cat.filter("popularity >= 60").orderBy("row_num").select("id").limit(3).collect()]
-    return search.Engine.build(cat).recommend(ids, "happy")
-
-
-@query(None)
+    return _shown(search.Engine.build(cat).recommend(ids, RECOMMEND_MOOD))
+
+
+def _sql_folded(c: str) -> str:
+    return f"trim(regexp_replace(lower({c}), '{_B}+', ' ', 'g'))"
+
+
+_LIVE_SIM = {f: f"coalesce(CASE WHEN NOT isnan(live.{f}) THEN live.{f} END, 0.5::DOUBLE)" for f in _SIM}
+_LIVE_SQL = f"""WITH {_CAT}, {_FAVS}, {_ONE_LIVE},
+k AS (SELECT cat.id, title, artist, popularity, duration_ms, {", ".join(f"{x} AS {f}" for f, x in _LIVE_SIM.items())},
+  coalesce({" OR ".join(f"(live.{f} IS NOT NULL AND NOT isnan(live.{f}))" for f in _SIM)}, false) AS featured, {_sql_folded("title")} AS ft, {_sql_folded("artist")} AS fa FROM cat LEFT JOIN live USING (id)),
+tx AS (SELECT request_id, pos, unnest([title, artist, CASE WHEN length(regexp_extract(trim(title), '^\\S+')) > 3 THEN regexp_extract(trim(title), '^\\S+') END]) AS text, unnest([0, 1, 2]) AS q FROM favs JOIN k USING (id)),
+tf AS (SELECT request_id, pos, q, {_sql_folded("text")} AS text FROM tx WHERE trim(text) <> ''),
+hits AS (SELECT text, id, row_number() OVER (PARTITION BY text ORDER BY id) AS item FROM (SELECT DISTINCT text FROM tf) d JOIN k ON contains(' ' || ft || ' ', ' ' || text || ' ') OR contains(' ' || fa || ' ', ' ' || text || ' ')),
+pool AS (SELECT request_id, id, min({{'p': pos, 'q': q, 'i': item}}) AS seen_at FROM tf JOIN hits USING (text) WHERE item <= 20 GROUP BY request_id, id),
+cut AS (SELECT pool.*, top_k, row_number() OVER (PARTITION BY request_id ORDER BY seen_at, id) AS r FROM pool JOIN recommend_requests USING (request_id)),
+prof AS (SELECT request_id, {", ".join(f"avg(coalesce({f}, 0.5::DOUBLE)) AS fav_{f}" for f in _SIM)}, avg(coalesce(popularity, 50)) AS fav_popularity,
+  avg(coalesce(duration_ms, 180000)) AS fav_duration, coalesce(list(DISTINCT lower(artist)) FILTER (artist <> ''), []) AS fav_artists, list(id) AS fav_ids FROM favs LEFT JOIN k USING (id) GROUP BY request_id),
+sc AS (SELECT cut.request_id, cut.id AS track_id, title, artist, popularity, valence, energy, seen_at, top_k, CASE WHEN featured THEN
+  0.35 * ({_sql_cosine(_SIM, [f"fav_{f}" for f in _SIM])}) + 0.20 * greatest(0, 1 - abs(popularity - fav_popularity) / 100) + 0.15 * greatest(0, 1 - abs(acousticness - fav_acousticness))
+  + 0.10 * ({_sql_duration("fav_duration")}) + 0.20 * (CASE WHEN list_contains(fav_artists, lower(artist)) THEN 0.3 ELSE 1.0 END) ELSE 0.5 END AS score
+  FROM cut JOIN k USING (id) JOIN prof USING (request_id) WHERE r <= 3 * top_k AND NOT list_contains(fav_ids, cut.id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, seen_at) AS rank FROM sc)
+SELECT request_id, rank::INT AS rank, track_id, title, artist, popularity, concat_ws(',', CASE WHEN valence > 0.6 THEN 'happy,uplifting,playful' END, CASE WHEN valence < 0.4 THEN 'sad,melancholic,nostalgic' END,
+  CASE WHEN energy > 0.7 THEN 'energetic,aggressive,tense' END, CASE WHEN energy < 0.4 THEN 'chill,dreamy' END) AS mood_tags, round(score, 6) AS score FROM rk WHERE rank <= top_k"""
+
+
+@query(_LIVE_SQL)
 def recommend_live(t):
-    return search.recommend_live(t("recommend_requests"), catalogue(t))
+    found = search.recommend_live(t("recommend_requests"), catalogue(t), t("live_features"))
+    return found.withColumn("score", F.round("score", 6))
