@@ -85,3 +85,26 @@ def test_footers(spark, tmp_path):
             assert f["nulls"] == sum(v is None for v in own)
             assert set(f["entries"]) == {str(v) for v in own if v is not None}
             assert f["key_low"] == f["key_high"] == str(f["row_group"] + 1)
+
+
+def test_chunks_that_footers_settle_are_not_scanned(spark, tmp_path, monkeypatch):
+    """A table clustered by load: constant and empty chunks are told by their footers; the rest is scanned, and only that."""
+    rows = []
+    for load in range(1, 9):
+        for i in range(100):
+            rows.append({"load_id": load, "loudness": None if load == 3 else -10.0, "popularity": 7 if load < 7 else i % 50, "genre": "pop" if load != 5 else "Bad One"})
+    write(tmp_path / "c.parquet", rows, 100)
+    table = spark.read.parquet(str(tmp_path / "c.parquet"))
+    told = P.chunk_decisions(spark, table, "load_id", ["loudness", "popularity", "genre"]).collect()
+    assert len(told) == 24 and sum(r["settled"] for r in told) == 22 and all(r["one_load"] for r in told)
+    assert {(r["row_group"], r["column_name"]) for r in told if not r["settled"]} == {(6, "popularity"), (7, "popularity")}
+    assert found(spark, tmp_path / "c.parquet") == brute(rows)
+    seen = []
+    true_counts = P.value_counts
+    monkeypatch.setattr(P, "value_counts", lambda s, chunks, *a: seen.append(chunks.count()) or true_counts(s, chunks, *a))
+    row = P.profile(spark, str(tmp_path / "c.parquet")).filter("load_id = 3 AND column_name = 'loudness'").first()
+    assert seen == [2] and (row["rows"], row["nulls"], row["distinct_values"]) == (100, 100, 0)
+    plain = tmp_path / "p.parquet"  # without statistics nothing is settled
+    write(plain, rows, 100, use_dictionary=False, write_statistics=False)
+    assert not any(r["settled"] for r in P.chunk_decisions(spark, spark.read.parquet(str(plain)), "load_id", ["genre"]).collect())
+    assert found(spark, plain) == brute(rows)

@@ -1,9 +1,10 @@
 """Column profile per load: null shares, distinct counts, ranges, malformed values, and shifts of a load against all others.
 
-First the Parquet footers (trackloom.sources.footers): a chunk that holds one load and whose footer has its nulls needs no scan
-for nulls; footer extrema and complete dictionaries settle ranges and patterns. Value counts, which distribution shifts need,
-are in no footer: they come from a scan, of the files only that hold a chunk with more than one value or load. The scan counts
-(load, value) pairs with map-side aggregation, so what is shuffled grows with distinct values, not with rows.
+First the Parquet footers (trackloom.sources.footers), chunk by chunk: where a row group holds one load, its footer gives the nulls,
+and a chunk that is all null or whose dictionary has one entry needs no scan at all; footer extrema and complete dictionaries prove
+malformed values. Value counts, which distribution shifts need, are in no footer: they come from a scan, of the other chunks only,
+all columns in one pass. Each chunk is counted where it is read, so what is shuffled grows with its distinct values, not its rows.
+Nothing but one row per partition passes the driver.
 """
 
 from __future__ import annotations
@@ -14,10 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.rangesort import range_running_totals
 from trackloom.session import checkpointed
-from trackloom.sources.footers import chunk_facts
-
-BINS = 4096
+from trackloom.sources.footers import chunk_facts, value_counts
 
 
 @dataclass(frozen=True)
@@ -62,49 +62,36 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def chunk_decisions(spark: SparkSession, table: DataFrame, load: str, columns: list[str]) -> DataFrame:
+    """The facts of every chunk, with one_load (footer nulls and extrema are those of one load) and settled (its value counts follow
+    from its footer and dictionary: it is not scanned)."""
+    facts = chunk_facts(spark, table.inputFiles(), load, columns, columns)
+    one = F.coalesce((F.col("key_low") == F.col("key_high")) & (F.col("key_nulls") == 0) & F.col("nulls").isNotNull(), F.lit(False))
+    constant = (F.col("nulls") == F.col("rows")) | (F.size(F.array_distinct("entries")) == 1)
+    return facts.withColumn("one_load", one).withColumn("settled", F.col("one_load") & F.coalesce(constant, F.lit(False)))
+
+
 def profile_counts(spark: SparkSession, path: str, load: str, checks: list[Check]) -> Profile:
-    """Reads a Parquet table: footers first, then the files whose statistics do not suffice.
+    """Reads a Parquet table: footers first, then the chunks whose statistics do not suffice.
 
     Rows whose load is null form a load of their own. An empty table gives empty counts.
     """
     table = spark.read.parquet(path)
-    columns = [c.column for c in checks]
-    kinds = dict(table.dtypes)
-    facts = chunk_facts(spark, table.inputFiles(), load, columns, [c.column for c in checks])
-    one_load = (F.col("key_low") == F.col("key_high")) & (F.col("key_nulls") == 0)
-    facts = checkpointed(facts.withColumn("_one", F.coalesce(one_load & F.col("nulls").isNotNull(), F.lit(False))))
-    entries = F.array_distinct("entries")
-    constant = F.col("_one") & ((F.col("nulls") == F.col("rows")) | (F.size(entries) == 1))
-    # Per file and column: do all chunks give nulls, and do all hold at most one value?
-    known = facts.groupBy("path", "column_name").agg(F.bool_and("_one").alias("nulls_known"), F.bool_and(F.coalesce(constant, F.lit(False))).alias("values_known"))
-    known = known.collect()  # one row per file and column
+    columns, kinds = [c.column for c in checks], dict(table.dtypes)
+    told = checkpointed(chunk_decisions(spark, table, load, columns))
     as_load = F.col("key_low").cast(kinds[load]).alias("load")
-    counts, sizes = [], []
-    by_footer = {c: {r["path"] for r in known if r["column_name"] == c and r["nulls_known"]} for c in columns}
-    whole = {c: {r["path"] for r in known if r["column_name"] == c and r["values_known"]} for c in columns}
-    files = set(table.inputFiles())
-    for check in checks:
-        c = check.column
-        text = F.col(c).cast("string").alias("value")
-        scanned = sorted(files - whole[c])
-        if scanned:
-            rows = spark.read.schema(table.schema).parquet(*scanned).select(F.col(load).alias("load"), text).filter(F.col("value").isNotNull())
-            counts.append(rows.groupBy("load", "value").agg(F.count("*").alias("n")).select("load", F.lit(c).alias("column_name"), "value", "n"))
-        unknown = sorted(files - by_footer[c])
-        if unknown:
-            rows = spark.read.schema(table.schema).parquet(*unknown)
-            sizes.append(rows.groupBy(F.col(load).alias("load")).agg(F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls")).withColumn("column_name", F.lit(c)))
-    # What footers settle joins in; files are told apart by their per-file flags, computed again on the executors.
-    per_file = facts.groupBy("path", "column_name").agg(F.bool_and("_one").alias("nulls_known"), F.bool_and(F.coalesce(constant, F.lit(False))).alias("values_known"))
-    told = facts.join(per_file, ["path", "column_name"])
-    sizes.append(told.filter("nulls_known").select(as_load, "rows", "nulls", "column_name"))
-    counts.append(told.filter(F.col("values_known") & (F.col("nulls") < F.col("rows"))).select(as_load, "column_name", entries[0].alias("value"), (F.col("rows") - F.col("nulls")).alias("n")))
-    all_counts = checkpointed(_union(counts).groupBy("load", "column_name", "value").agg(F.sum("n").alias("n")))
-    all_sizes = _union(sizes).groupBy("load", "column_name").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"))
+    settled = told.filter("settled")
+    constant = settled.filter(F.col("nulls") < F.col("rows")).select(as_load, "column_name", F.get(F.array_distinct("entries"), F.lit(0)).alias("value"), (F.col("rows") - F.col("nulls")).alias("n"))
+    missing = settled.filter(F.col("nulls") > 0).select(as_load, "column_name", F.lit(None).cast("string").alias("value"), F.col("nulls").alias("n"))
+    scanned = value_counts(spark, told.filter("NOT settled"), load, kinds)
+    scanned = scanned.select(F.col("key").cast(kinds[load]).alias("load"), "column_name", "value", "n")
+    every = checkpointed(_union([scanned, constant, missing]).groupBy("load", "column_name", "value").agg(F.sum("n").alias("n")))
+    all_counts = every.filter(F.col("value").isNotNull())
+    all_sizes = every.groupBy("load", "column_name").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"))
     # Malformed values that footers alone prove: out-of-range extrema, invalid dictionary entries.
     proofs = []
     for check in checks:
-        own = told.filter((F.col("column_name") == check.column) & F.col("_one"))
+        own = told.filter((F.col("column_name") == check.column) & F.col("one_load"))
         bad = F.exists("entries", lambda e: ~check.valid(e))
         if check.numeric:
             bad = F.coalesce(bad, F.lit(False)) | F.coalesce(~check.valid(F.col("low")) | ~check.valid(F.col("high")), F.lit(False))
@@ -136,7 +123,7 @@ def profile(spark: SparkSession, path: str, load: str = "load_id", checks: list[
         "null_share_rest", F.when(F.col("_rows") > F.col("rows"), (F.col("_nulls") - F.col("nulls")) / (F.col("_rows") - F.col("rows")))
     )
     valid = counts.filter("valid")
-    shifts = _numeric_shifts(valid.filter(F.col("column_name").isin(numeric)), checks).unionByName(_text_shifts(valid.filter(~F.col("column_name").isin(numeric))))
+    shifts = _numeric_shifts(valid.filter(F.col("column_name").isin(numeric))).unionByName(_text_shifts(valid.filter(~F.col("column_name").isin(numeric))))
     out = _join_load(_join_load(sizes, per_load), shifts)
     proof = found.extrema.withColumn("proved", F.lit(True))
     return _join_load(out, proof).select(
@@ -163,34 +150,22 @@ def _text_shifts(valid: DataFrame) -> DataFrame:
     return sums.select("load", "column_name", ((F.col("_d") + F.greatest(F.lit(0.0), 1 - F.col("_q"))) / 2).alias("shift"))
 
 
-def _numeric_shifts(valid: DataFrame, checks: list[Check]) -> DataFrame:
+def _numeric_shifts(valid: DataFrame) -> DataFrame:
     """Largest difference of the cumulative shares of a load and of the rest.
 
     Between two values of a load its own share is constant and that of the rest only grows, so it is enough to look at each
-    value of the load and just below it. Cumulative counts are summed inside BINS equal bins of the valid range, and over the
-    bins; the window over all loads therefore has at most BINS rows per column and task.
+    value of the load and just below it. Cumulative counts are running totals over global range sorts, so neither a load nor a
+    stretch of values with many rows is gathered in one task.
     """
-    width = reduce(
-        lambda rest, c: F.when(F.col("column_name") == c.column, F.least(F.lit(BINS - 1), F.floor((F.col("v") - c.low) / ((c.high - c.low) or 1) * BINS))).otherwise(rest),
-        [c for c in checks if c.numeric],
-        F.lit(0),
-    )
-    own = valid.select("load", "column_name", F.col("value").cast("double").alias("v"), "n").groupBy("load", "column_name", "v").agg(F.sum("n").alias("n")).withColumn("bin", width)
-    every = own.groupBy("column_name", "bin", "v").agg(F.sum("n").alias("_n"))
-    upto = (Window.unboundedPreceding, Window.currentRow)
-
-    def cumulated(df: DataFrame, keys: list[str], n: str, out: str) -> DataFrame:
-        inside = df.withColumn("_in", F.sum(n).over(Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(*upto)))
-        bins = df.groupBy(*keys, "bin").agg(F.sum(n).alias("_b"))
-        bins = bins.withColumn("_before", F.sum("_b").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(*upto)) - F.col("_b")).drop("_b")
-        bins = bins.withColumnsRenamed({k: f"_{k}" for k in [*keys, "bin"]})
-        match = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "bin"]])
-        return inside.join(bins, match).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", *[f"_{k}" for k in [*keys, "bin"]])
-
-    mine = cumulated(own, ["load", "column_name"], "n", "cum").withColumn("total", F.sum("n").over(Window.partitionBy("load", "column_name")))
-    all_of = cumulated(every, ["column_name"], "_n", "_cum").drop("bin")
-    totals = every.groupBy("column_name").agg(F.sum("_n").alias("_total"))
-    both = mine.join(all_of, ["column_name", "v"]).join(F.broadcast(totals), "column_name").filter(F.col("_total") > F.col("total"))
+    own = valid.select("load", "column_name", F.col("value").cast("double").alias("v"), "n").groupBy("load", "column_name", "v").agg(F.sum("n").alias("n"))
+    every = own.groupBy("column_name", "v").agg(F.sum("n").alias("_n"))
+    mine = range_running_totals(own, [F.col("column_name"), F.col("load"), F.col("v")], "n")
+    first = mine.groupBy("load", "column_name").agg(F.min("before").alias("_first"), F.sum("n").alias("total"))
+    mine = _join_load(mine, first).withColumn("cum", F.col("before") - F.col("_first") + F.col("n")).drop("before", "_first")
+    all_of = range_running_totals(every, [F.col("column_name"), F.col("v")], "_n", "_before")
+    totals = all_of.groupBy("column_name").agg(F.min("_before").alias("_start"), F.sum("_n").alias("_total"))
+    both = mine.join(all_of, ["column_name", "v"]).join(F.broadcast(totals), "column_name").filter(F.col("_total") > F.col("total"))  # one row a column
+    both = both.withColumn("_cum", F.col("_before") - F.col("_start") + F.col("_n"))
     rest = F.col("_total") - F.col("total")
     at = F.abs(F.col("cum") / F.col("total") - (F.col("_cum") - F.col("cum")) / rest)
     below = F.abs((F.col("cum") - F.col("n")) / F.col("total") - (F.col("_cum") - F.col("_n") - F.col("cum") + F.col("n")) / rest)

@@ -1,8 +1,9 @@
 """What Parquet files say about themselves: footer statistics per column chunk and complete dictionaries.
 
 Footers give exact null counts and, where written, exact extrema (which leave out NaN). A dictionary lists every distinct value
-of a chunk when all its data pages are dictionary-encoded; whether they are is read from the page headers, a few bytes per page,
-without reading the data. Files are read where the tasks run, one file per row of a DataFrame of paths.
+of a chunk when all its data pages are dictionary-encoded; the footer's counts of pages by encoding say whether they are, or where a
+writer left these out, the page headers, a few bytes per page, without reading the data. Files are read where the tasks run, one
+file per row of a DataFrame of paths.
 """
 
 from __future__ import annotations
@@ -78,12 +79,25 @@ class _Compact:
             out[field] = self.value(head & 15)
 
 
-def _dictionary(source, column, physical: str) -> list[str] | None:
+def page_encodings(source, size: int) -> list[list[list[tuple[int, int]] | None]]:
+    """Per row group and column chunk of the footer: (page type, encoding) of its pages, or None where the writer does not say."""
+    length = int.from_bytes(source.read_at(8, size - 8)[:4], "little")
+    try:
+        footer = _Compact(source.read_at(length, size - 8 - length)).struct()
+        # Fields of the format: 4 row groups, 1 columns, 3 metadata, 13 encoding statistics (1 page type, 2 encoding).
+        return [[[(e[1], e[2]) for e in c[3][13]] if 13 in c.get(3, {}) else None for c in g[1]] for g in footer[4]]
+    except (IndexError, KeyError, ValueError):
+        return []
+
+
+def _dictionary(source, column, physical: str, pages: list[tuple[int, int]] | None = None) -> list[str] | None:
     """The distinct values of a chunk as strings, or None where its dictionary is missing or doesn't cover it."""
     import pyarrow as pa
 
     if not column.has_dictionary_page:
         return None
+    if pages is not None and any(kind != DICTIONARY_PAGE and encoding not in DICTIONARY_ENCODINGS for kind, encoding in pages):
+        return None
     at = column.dictionary_page_offset if column.dictionary_page_offset is not None else column.data_page_offset
     end, entries, seen = at + column.total_compressed_size, None, 0
     while at < end and seen < column.num_values:
@@ -99,6 +113,8 @@ def _dictionary(source, column, physical: str) -> list[str] | None:
             if column.compression != "UNCOMPRESSED":
                 page = pa.decompress(page, decompressed_size=header[2], codec=column.compression.lower(), asbytes=True)
             entries = _plain(page, header[7][1], physical)
+            if pages is not None:
+                return entries
         elif kind in (DATA_PAGE, DATA_PAGE_V2):
             page = header[5] if kind == DATA_PAGE else header[8]
             seen += page[1]
@@ -126,7 +142,7 @@ def chunk_facts(spark: SparkSession, files: list[str], key: str, columns: list[s
 
     nulls, low and high are null where the footer does not give them. Extrema are written as strings; for strings they are left
     out, as writers may cut them. A column that a file lacks is all null there. dictionaries: the columns whose dictionaries are
-    decoded.
+    decoded, in row groups that hold one key only.
     """
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,8 +156,10 @@ def chunk_facts(spark: SparkSession, files: list[str], key: str, columns: list[s
                 rows = []
                 with system.open_input_file(inside) as source:
                     meta = pq.ParquetFile(source).metadata
+                    encodings = page_encodings(source, source.size()) if dictionaries else []
                     for g in range(meta.num_row_groups):
                         group = meta.row_group(g)
+                        order = {group.column(i).path_in_schema: i for i in range(group.num_columns)}
                         chunks = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
                         known = chunks[key].statistics if key in chunks else None
                         bounds = (str(known.min), str(known.max)) if known is not None and known.has_min_max else (None, None)
@@ -154,7 +172,9 @@ def chunk_facts(spark: SparkSession, files: list[str], key: str, columns: list[s
                             stats = chunk.statistics
                             nulls = stats.null_count if stats is not None and stats.has_null_count else None
                             has = stats is not None and stats.has_min_max and chunk.physical_type != "BYTE_ARRAY"
-                            entries = _dictionary(source, chunk, chunk.physical_type) if name in dictionaries else None
+                            pages = encodings[g][order[name]] if g < len(encodings) else None
+                            one = not key_nulls and bounds[0] is not None and bounds[0] == bounds[1]
+                            entries = _dictionary(source, chunk, chunk.physical_type, pages) if one and name in dictionaries else None
                             rows.append((path, g, group.num_rows, *bounds, key_nulls, name, nulls, str(stats.min) if has else None, str(stats.max) if has else None, entries))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
@@ -163,3 +183,44 @@ def chunk_facts(spark: SparkSession, files: list[str], key: str, columns: list[s
     paths = spark.createDataFrame(pd.DataFrame({"path": sorted(files)}), "path string")
     tasks = min(len(files), 4 * spark.sparkContext.defaultParallelism)
     return paths.repartition(max(1, tasks), F.xxhash64("path")).mapInPandas(facts, CHUNK_SCHEMA)
+
+
+def value_counts(spark: SparkSession, chunks: DataFrame, key: str, types: dict[str, str]) -> DataFrame:
+    """(key string, column_name, value string, n, nulls) counted in the named chunks (path, row_group, column_name) alone.
+
+    One row per chunk, key and value, null values with the nulls of that key; only the chunk's pages and, where the row group holds
+    several keys, those of the key are read. types: how Spark writes each column, for the text of its values.
+    """
+    schema = "key string, column_name string, value string, n bigint"
+
+    def counted(batches):
+        import pyarrow as pa
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        fields = pa.schema([("key", pa.string()), ("column_name", pa.string()), ("value", pa.string()), ("n", pa.int64())])
+        for batch in batches:
+            for path, own in batch.to_pandas().groupby("path"):
+                url = urlparse(path)
+                system, inside = (fs.LocalFileSystem(), unquote(url.path)) if url.scheme in ("", "file") else fs.FileSystem.from_uri(path)
+                with system.open_input_file(inside) as source:
+                    file = pq.ParquetFile(source)
+                    for group, wanted in own.groupby("row_group"):
+                        columns = [c for c in wanted["column_name"]]
+                        table = file.read_row_group(int(group), columns=[c for c in dict.fromkeys([key, *columns]) if c in file.schema_arrow.names], use_threads=False)
+                        if key not in table.column_names:
+                            table = table.append_column(key, pa.nulls(table.num_rows, pa.string()))
+                        for c in columns:
+                            pair = pa.table({"key": table.column(key), "value": table.column(c) if c in table.column_names else pa.nulls(table.num_rows, pa.string())})
+                            sums = pair.group_by(["key", "value"], use_threads=False).aggregate([([], "count_all")])
+                            keys, values = sums.column("key").to_pylist(), sums.column("value").to_pylist()
+                            text = [None if v is None else _text(v, types[c]) for v in values]
+                            names = [None if k is None else str(k) for k in keys]
+                            yield pa.RecordBatch.from_pydict({"key": names, "column_name": [c] * len(keys), "value": text, "n": sums.column("count_all").to_pylist()}, fields)
+
+    spread = chunks.select("path", "row_group", "column_name").repartition(4 * spark.sparkContext.defaultParallelism, "path", "row_group")
+    return spread.mapInArrow(counted, schema)
+
+
+def _text(value, kind: str) -> str:
+    return repr(float(value)) if kind in ("double", "float") else str(value)
