@@ -1,10 +1,10 @@
 """Column profile per load: null shares, distinct counts, ranges, malformed values, and shifts of a load against all others.
 
 First the Parquet footers (trackloom.sources.footers), chunk by chunk: where a row group holds one load, its footer gives the nulls,
-and a chunk that is all null or whose dictionary has one entry needs no scan at all; footer extrema and complete dictionaries prove
-malformed values. Value counts, which distribution shifts need, are in no footer: they come from a scan, of the other chunks only,
-all columns in one pass. Each chunk is counted where it is read, so what is shuffled grows with its distinct values, not its rows.
-Nothing but one row per partition passes the driver.
+and a chunk that is all null or whose dictionary has one entry needs no scan; footer extrema and complete dictionaries prove malformed
+values. A load all of whose chunks are settled so is left out of the scan by a filter that drops its row groups by their statistics.
+Value counts of the other loads, which distribution shifts need, are in no footer: they come from one scan of all columns, counted
+map-side, so what is shuffled grows with distinct values, not rows. One row per load and column and per partition passes the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators.rangesort import range_running_totals
 from trackloom.session import checkpointed
-from trackloom.sources.footers import chunk_facts, value_counts
+from trackloom.sources.footers import chunk_facts
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,16 @@ def chunk_decisions(spark: SparkSession, table: DataFrame, load: str, columns: l
     return facts.withColumn("one_load", one).withColumn("settled", F.col("one_load") & F.coalesce(constant, F.lit(False)))
 
 
+def settled_loads(told: DataFrame, kind: str) -> list:
+    """(load, column_name) rows of the loads all of whose chunks are settled and that no row group of several loads may hold."""
+    low, high = F.col("key_low").cast(kind), F.col("key_high").cast(kind)
+    single = told.filter("one_load").withColumn("load", low).groupBy("load", "column_name").agg(F.bool_and("settled").alias("settled")).filter("settled").drop("settled")
+    mixed = told.filter("NOT one_load").select(F.col("column_name").alias("_c"), low.alias("_low"), high.alias("_high"))
+    inside = F.col("_low").isNull() | ((F.col("load") >= F.col("_low")) & (F.col("load") <= F.col("_high")))
+    touched = mixed.join(F.broadcast(single), (F.col("column_name") == F.col("_c")) & inside).select("load", "column_name").distinct()  # one row a load and column
+    return single.join(touched, ["load", "column_name"], "left_anti").collect()
+
+
 def profile_counts(spark: SparkSession, path: str, load: str, checks: list[Check]) -> Profile:
     """Reads a Parquet table: footers first, then the chunks whose statistics do not suffice.
 
@@ -80,11 +90,24 @@ def profile_counts(spark: SparkSession, path: str, load: str, checks: list[Check
     columns, kinds = [c.column for c in checks], dict(table.dtypes)
     told = checkpointed(chunk_decisions(spark, table, load, columns))
     as_load = F.col("key_low").cast(kinds[load]).alias("load")
-    settled = told.filter("settled")
-    constant = settled.filter(F.col("nulls") < F.col("rows")).select(as_load, "column_name", F.get(F.array_distinct("entries"), F.lit(0)).alias("value"), (F.col("rows") - F.col("nulls")).alias("n"))
-    missing = settled.filter(F.col("nulls") > 0).select(as_load, "column_name", F.lit(None).cast("string").alias("value"), F.col("nulls").alias("n"))
-    scanned = value_counts(spark, told.filter("NOT settled"), load, kinds)
-    scanned = scanned.select(F.col("key").cast(kinds[load]).alias("load"), "column_name", "value", "n")
+    known = settled_loads(told, kinds[load])
+    done = {c: [r["load"] for r in known if r["column_name"] == c] for c in columns}
+    whole = sorted(set.intersection(*[set(v) for v in done.values()])) if columns else []
+    rows = table.select(F.col(load).alias("load"), *columns)
+    for value in whole:  # one comparison a load: each drops the row groups that hold nothing else
+        rows = rows.filter(F.col("load").isNull() | (F.col("load") != F.lit(value)))
+    grouped = rows.groupingSets([["load", c] for c in columns], "load", *columns).agg(F.count("*").alias("n"), *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(columns)])
+    name = reduce(lambda rest, ic: F.when(F.col(f"_g{ic[0]}") == 0, F.lit(ic[1])).otherwise(rest), enumerate(columns), F.lit(None).cast("string"))
+    text = reduce(lambda rest, ic: F.when(F.col(f"_g{ic[0]}") == 0, F.col(ic[1]).cast("string")).otherwise(rest), enumerate(columns), F.lit(None).cast("string"))
+    scanned = grouped.select("load", name.alias("column_name"), text.alias("value"), "n")
+    for c in columns:
+        if done[c]:
+            scanned = scanned.filter((F.col("column_name") != c) | F.col("load").isNull() | ~F.col("load").isin(done[c]))
+    settled = told.filter(F.col("one_load")).withColumn("load", as_load)
+    keep = reduce(Column.__or__, [(F.col("column_name") == c) & F.col("load").isin(v) for c, v in done.items() if v], F.lit(False))
+    settled = settled.filter(keep)
+    constant = settled.filter(F.col("nulls") < F.col("rows")).select("load", "column_name", F.get(F.array_distinct("entries"), F.lit(0)).alias("value"), (F.col("rows") - F.col("nulls")).alias("n"))
+    missing = settled.filter(F.col("nulls") > 0).select("load", "column_name", F.lit(None).cast("string").alias("value"), F.col("nulls").alias("n"))
     every = checkpointed(_union([scanned, constant, missing]).groupBy("load", "column_name", "value").agg(F.sum("n").alias("n")))
     all_counts = every.filter(F.col("value").isNotNull())
     all_sizes = every.groupBy("load", "column_name").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"))

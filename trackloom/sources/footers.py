@@ -184,43 +184,3 @@ def chunk_facts(spark: SparkSession, files: list[str], key: str, columns: list[s
     tasks = min(len(files), 4 * spark.sparkContext.defaultParallelism)
     return paths.repartition(max(1, tasks), F.xxhash64("path")).mapInPandas(facts, CHUNK_SCHEMA)
 
-
-def value_counts(spark: SparkSession, chunks: DataFrame, key: str, types: dict[str, str]) -> DataFrame:
-    """(key string, column_name, value string, n, nulls) counted in the named chunks (path, row_group, column_name) alone.
-
-    One row per chunk, key and value, null values with the nulls of that key; only the chunk's pages and, where the row group holds
-    several keys, those of the key are read. types: how Spark writes each column, for the text of its values.
-    """
-    schema = "key string, column_name string, value string, n bigint"
-
-    def counted(batches):
-        import pyarrow as pa
-        import pyarrow.fs as fs
-        import pyarrow.parquet as pq
-
-        fields = pa.schema([("key", pa.string()), ("column_name", pa.string()), ("value", pa.string()), ("n", pa.int64())])
-        for batch in batches:
-            for path, own in batch.to_pandas().groupby("path"):
-                url = urlparse(path)
-                system, inside = (fs.LocalFileSystem(), unquote(url.path)) if url.scheme in ("", "file") else fs.FileSystem.from_uri(path)
-                with system.open_input_file(inside) as source:
-                    file = pq.ParquetFile(source)
-                    for group, wanted in own.groupby("row_group"):
-                        columns = [c for c in wanted["column_name"]]
-                        table = file.read_row_group(int(group), columns=[c for c in dict.fromkeys([key, *columns]) if c in file.schema_arrow.names], use_threads=False)
-                        if key not in table.column_names:
-                            table = table.append_column(key, pa.nulls(table.num_rows, pa.string()))
-                        for c in columns:
-                            pair = pa.table({"key": table.column(key), "value": table.column(c) if c in table.column_names else pa.nulls(table.num_rows, pa.string())})
-                            sums = pair.group_by(["key", "value"], use_threads=False).aggregate([([], "count_all")])
-                            keys, values = sums.column("key").to_pylist(), sums.column("value").to_pylist()
-                            text = [None if v is None else _text(v, types[c]) for v in values]
-                            names = [None if k is None else str(k) for k in keys]
-                            yield pa.RecordBatch.from_pydict({"key": names, "column_name": [c] * len(keys), "value": text, "n": sums.column("count_all").to_pylist()}, fields)
-
-    spread = chunks.select("path", "row_group", "column_name").repartition(4 * spark.sparkContext.defaultParallelism, "path", "row_group")
-    return spread.mapInArrow(counted, schema)
-
-
-def _text(value, kind: str) -> str:
-    return repr(float(value)) if kind in ("double", "float") else str(value)
