@@ -26,3 +26,11 @@ def test_cap(spark):
     assert cap.cap_share(df, cap.contributor_key(F.col("name")), F.col("score"), "k", 100).count() > 0
     with pytest.raises(ValueError):
         removed(df, -1)
+
+
+def test_many_contributors_over_the_cap(spark, monkeypatch):
+    """Beyond the broadcast: joined by contributor, salted; one contributor holds a third of all rows."""
+    df = spark.range(3000).selectExpr("id AS k", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('n', id % 500) END AS name", "id % 7 AS score")
+    want = removed(df, 2)
+    monkeypatch.setattr(cap, "BROADCAST_CONTRIBUTORS", 0)
+    assert removed(df, 2) == want and want

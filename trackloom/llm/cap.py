@@ -15,6 +15,7 @@ from trackloom.session import blanks_collapsed
 
 #: Contributors above a cap of c rows among n rows number n / (c + 1) at most. Up to this bound they are broadcast.
 BROADCAST_CONTRIBUTORS = 10_000
+SALTS = 32
 
 
 def contributor_key(name: Column) -> Column:
@@ -37,8 +38,11 @@ def rows_over_cap(df: DataFrame, contributor: Column, score: Column, key: str, c
     starts = placed.groupBy("contributor").agg(F.min("position").alias("_first"), F.count("*").alias("_rows"))
     over = starts.filter(F.col("_rows") > cap).select("contributor", "_first")
     if total / (cap + 1) <= BROADCAST_CONTRIBUTORS:
-        over = F.broadcast(over)
-    return placed.join(over, "contributor").filter(F.col("position") - F.col("_first") >= cap).select(key, "contributor")
+        found = placed.join(F.broadcast(over), "contributor")
+    else:  # too many to send to every task; every contributor is cut in SALTS parts
+        salted = over.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = placed.withColumn("_salt", F.pmod("position", F.lit(SALTS)).cast("int")).join(salted, ["contributor", "_salt"])
+    return found.filter(F.col("position") - F.col("_first") >= cap).select(key, "contributor")
 
 
 def cap_share(df: DataFrame, contributor: Column, score: Column, key: str, per: int) -> DataFrame:

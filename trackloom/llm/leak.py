@@ -78,17 +78,18 @@ def readings(text: str | None) -> list[list[str]]:
 
 @dataclass(frozen=True)
 class Patterns:
-    """shifts: block to shift. buckets: block to the (item, end) places where it ends a pattern. items: their words."""
+    """shifts: block to shift. buckets: block to the (item, end) places where it ends a pattern, by the pattern's first and middle
+    word, so that a block that ends many patterns leads to few comparisons. items: their words."""
 
     shifts: dict[tuple[str, str], int]
-    buckets: dict[tuple[str, str], list[tuple[int, int]]]
+    buckets: dict[tuple[str, str], dict[tuple[str, str], list[tuple[int, int]]]]
     items: dict[int, list[str]]
     words: int
 
     @staticmethod
     def of(items: dict[int, list[str]], words: int = WORDS) -> Patterns:
         shifts: dict[tuple[str, str], int] = {}
-        buckets: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        buckets: dict[tuple[str, str], dict[tuple[str, str], list[tuple[int, int]]]] = {}
         for item, own in items.items():
             if len(own) < words:
                 continue
@@ -97,7 +98,8 @@ class Patterns:
                 shift = max(0, words - 1 - end)
                 shifts[block] = min(shifts.get(block, words - 1), shift)
                 if end >= words - 1:
-                    buckets.setdefault(block, []).append((item, end))
+                    heads = (own[end - words + 1], own[end - words // 2])
+                    buckets.setdefault(block, {}).setdefault(heads, []).append((item, end))
         return Patterns(shifts, buckets, items, words)
 
     def found_in(self, text: list[str]) -> set[int]:
@@ -111,10 +113,8 @@ class Patterns:
             if shift:
                 end += shift
                 continue
-            head = text[end - m + 1]
-            for item, at in self.buckets[block]:
-                own = self.items[item]
-                if item not in found and own[at - m + 1] == head and own[at - m + 1 : at + 1] == text[end - m + 1 : end + 1]:
+            for item, at in self.buckets[block].get((text[end - m + 1], text[end - m // 2]), ()):
+                if item not in found and self.items[item][at - m + 1 : at + 1] == text[end - m + 1 : end + 1]:
                     found.add(item)
             end += 1
         return found
