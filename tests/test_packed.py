@@ -63,3 +63,11 @@ def test_sample_table_matches_plain_reading(spark, small):
             text = text[1:-1]
         want = [next(g for g in m.groups() if g is not None).strip() for m in pattern.finditer(text) if m[0]]
         assert [t for _, t in sorted(got.get(r["row_num"], []))] == [w for w in want if w], text
+
+
+def test_six_delimiters_are_all_weighed(spark):
+    """More than five delimiters in one field: every combination of them is a dialect."""
+    text = "a|b;c,d/e:f~g"
+    sets = {d for _, d, _, _ in P.dialects(text)}
+    marks = {c for c in text if P.splits(c)}
+    assert len(marks) > 5 and len(sets) == 2 ** len(marks)

@@ -216,3 +216,27 @@ def test_validation_rules(spark):
     assert errors[6] == ["energy is not numeric: None", 'tempo is not numeric: "it\'s"', "key is not numeric: 'nan'"]
     assert validate.load_summary(checked).first().asDict() == {"total": 7, "loaded": 1, "rejected": 6}
     assert validate.load_summary(validate.validated(df.limit(0))).first()["total"] == 0
+
+
+def test_hot_and_blank_ids(spark):
+    """An id that a third of all rows share, blank ids, and extra columns."""
+    rows = [(i, "hot" if i % 3 == 0 else " " if i % 3 == 1 else f"u{i}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_num long, id string, _Salt int")
+    got = {r["row_num"]: r["duplicate"] for r in validate.duplicate_flags(df, "row_num").collect()}
+    assert len(got) == 3000 and {r for r, d in got.items() if d} == {i for i in range(3, 3000, 3)}
+
+
+def test_checkpoint_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from trackloom.session import ensure_checkpoint_dir
+
+    named = []
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x:7077", setCheckpointDir=named.append)
+    settings = {}
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: settings.get(key, default)))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(session)
+    settings["spark.checkpoint.dir"] = "s3://bucket/x"
+    ensure_checkpoint_dir(session)
+    assert named == ["s3://bucket/x"]

@@ -47,3 +47,20 @@ def test_typed_values(spark):
     raw = spark.createDataFrame([(1, line(key="3.7", duration_ms="2.15e5", title='" a ""q"""'))], "line_id long, raw_line string")
     row = S.strict_load(raw).first()
     assert (row["key"], row["duration_ms"], row["title"], row["tempo"]) == (3, 215000, 'a "q"', 300.0)
+
+
+def test_quarantine_wording(spark):
+    from trackloom.operators import strict_load as S
+    from trackloom.schema import RECORD_FIELDS
+
+    good = dict(zip(RECORD_FIELDS, ["a", "T", "A", "g", "", "0", "1", "0.5", "300", "-60", "0", "0", "0", "0", "1", "11", "0", "7", "100"]))
+    line = lambda **k: ",".join((good | k).values())
+    lines = [line(), line(title=" ", valence="1.8", mode="7"), 'x"y,' + line(), "a,b", None, line(tempo="fast")]
+    raw = spark.createDataFrame(list(enumerate(lines)), "line_id long, raw_line string")
+    got = {r["line_id"]: (r["errors"], r["raw_json"]) for r in S.rejected_rows(raw).collect()}
+    assert got[1][0] == "title is missing/empty; valence=1.8 out of range [0,1]; mode=7 must be 0 or 1" and '"title":" "' in got[1][1]
+    assert got[2][0] == "quoting" and got[3][0] == got[4][0] == "column_count" and got[5][0] == "tempo is not numeric: 'fast'" and 0 not in got
+    reasons = {}
+    for r in S.failure_reasons(raw).collect():
+        reasons.setdefault(r["line_id"], set()).add(r["reason"])
+    assert reasons.keys() == got.keys() and reasons[1] == {"title", "valence", "mode"}

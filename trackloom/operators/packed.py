@@ -108,10 +108,14 @@ def _enclosed_end(text: str, start: int, delimiters: frozenset[str]) -> int:
     return -1
 
 
+MOST_DELIMITERS = 10
+
+
 def dialects(text: str) -> Iterator[tuple[str, frozenset[str], bool, float]]:
     """(text without wrapper, delimiters, quoting, bits of the dialect) of every dialect a field may be written in.
 
-    Up to five different delimiters in a field all their combinations are tried; with more, each alone and all together.
+    All combinations of the delimiters in a field, up to MOST_DELIMITERS different ones; of a field with more (a sentence, say, not a
+    list) every combination of up to three, and all together.
     """
     inner = text.strip()
     forms = [(inner, 0.0)]
@@ -119,7 +123,8 @@ def dialects(text: str) -> Iterator[tuple[str, frozenset[str], bool, float]]:
         forms = [(inner[1:-1], 1.0), (inner, 3.0)]
     for form, wrap_bits in forms:
         marks = sorted({c for c in form if splits(c)})
-        sets = [c for r in range(len(marks) + 1) for c in combinations(marks, r)] if len(marks) <= 5 else [*[(m,) for m in marks], tuple(marks)]
+        sizes = range(len(marks) + 1) if len(marks) <= MOST_DELIMITERS else (0, 1, 2, 3, len(marks))
+        sets = [c for r in sizes for c in combinations(marks, r)]
         quotings = (True, False) if any(c in QUOTES for c in form) else (False,)
         for chosen in sets:
             for quoting in quotings:

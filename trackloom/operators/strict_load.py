@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators.coerce import in_range, is_blank, stripped, to_real
+from trackloom.operators.validate import numbers_of, row_errors
 from trackloom.schema import RECORD_FIELDS, RULES
 from trackloom.session import computed_once
 
@@ -114,11 +115,15 @@ def failure_reasons(raw: DataFrame, offset: str = "line_id", line: str = "raw_li
 
 
 def rejected_rows(raw: DataFrame, offset: str = "line_id", line: str = "raw_line") -> DataFrame:
-    """The quarantine form of the failing lines: offset, raw_json (the line, or its fields by name), errors joined by '; '."""
-    failing = failing_lines(raw, offset, line)
-    whole = F.size("_f") == len(RECORD_FIELDS)
-    named = F.to_json(F.struct(*[F.get("_f", F.lit(i)).alias(f) for i, f in enumerate(RECORD_FIELDS)]))
-    reasons = diagnose(failing, offset, line)
-    lines = failing.withColumn("_f", F.when(well_quoted(F.col(line)), split_record(F.col(line))))
-    lines = lines.select(offset, F.when(whole, named).otherwise(F.to_json(F.struct(F.col(line).alias("line")))).alias("raw_json"))
-    return lines.join(reasons, offset).select(offset, "raw_json", F.array_join("reasons", "; ").alias("errors"))
+    """The quarantine form of the failing lines: offset, raw_json (the fields by name, nulls kept, or the line), errors joined by
+    '; ' in the wording of the quarantine log; `quoting` and `column_count` stand alone."""
+    failing = failing_lines(raw, offset, line).select(F.col(offset).alias("_offset"), F.col(line).alias("_line"))
+    split = computed_once(failing, {"_sound": well_quoted(F.col("_line"))})
+    split = computed_once(split, {"_f": F.when(F.col("_sound"), split_record(F.col("_line")))})
+    fields = split.select("*", *[F.get("_f", F.lit(i)).alias(f) for i, f in enumerate(RECORD_FIELDS)])
+    whole = F.coalesce(F.size("_f") == len(RECORD_FIELDS), F.lit(False))
+    numbers = numbers_of()
+    errors = F.when(~F.col("_sound"), F.array(F.lit("quoting"))).when(~whole, F.array(F.lit("column_count"))).otherwise(row_errors())
+    named = F.to_json(F.struct(*RECORD_FIELDS), {"ignoreNullFields": "false"})
+    out = computed_once(fields, numbers).select("_offset", F.when(whole, named).otherwise(F.to_json(F.struct(F.col("_line").alias("line")))).alias("raw_json"), F.array_join(errors, "; ").alias("errors"))
+    return out.withColumnRenamed("_offset", offset)

@@ -10,6 +10,9 @@ from trackloom.operators.coerce import in_range, is_blank, stripped, to_real, to
 from trackloom.schema import ERROR_ORDER, RECORD_FIELDS, RULES
 from trackloom.session import computed_once
 
+#: Parts of a repeated id.
+SALTS = 16
+
 
 def quoted(text: Column) -> Column:
     """A text as it stands in an error: in quote marks, None for null."""
@@ -51,11 +54,16 @@ def row_errors() -> Column:
 def duplicate_flags(raw: DataFrame, row: str, key: str = "id") -> DataFrame:
     """(row, duplicate): whether an earlier row has the same stripped, non-empty id, be that row valid or not.
 
-    The earliest row of each id is found by a map-side minimum, so an id with very many rows is not sorted in one task.
+    The earliest row of each id is found by a map-side minimum; only ids that occur again are joined back, each cut in SALTS parts,
+    so an id with very many rows is in no step the work of one task. Rows with a blank id take no part in the join.
     """
     own = raw.select(F.col(row), stripped(F.col(key)).alias("_id"))
-    first = own.filter(F.coalesce("_id", F.lit("")) != "").groupBy("_id").agg(F.min(row).alias("_first"))
-    return own.join(first, "_id", "left").select(row, F.coalesce(F.col(row) > F.col("_first"), F.lit(False)).alias("duplicate"), F.col("_id"))
+    named = F.coalesce("_id", F.lit("")) != ""
+    again = own.filter(named).groupBy("_id").agg(F.min(row).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    again = again.select("_id", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = own.filter(named).withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int"))
+    joined = salted.join(again, ["_id", "_salt"], "left").select(row, F.coalesce(F.col(row) > F.col("_first"), F.lit(False)).alias("duplicate"), "_id")
+    return joined.unionByName(own.filter(~named).select(row, F.lit(False).alias("duplicate"), "_id"))
 
 
 def validated(raw: DataFrame, row: str = "row_num") -> DataFrame:
@@ -79,7 +87,7 @@ def accepted(checked: DataFrame, row: str = "row_num") -> DataFrame:
 
 def rejected(checked: DataFrame, row: str = "row_num") -> DataFrame:
     """(row, raw_json, errors): quarantined rows as JSON of their raw fields, errors joined by '; '."""
-    raw = F.to_json(F.struct(*[F.col(f) for f in RECORD_FIELDS]))
+    raw = F.to_json(F.struct(*[F.col(f) for f in RECORD_FIELDS]), {"ignoreNullFields": "false"})
     return checked.filter(F.size("errors") > 0).select(row, raw.alias("raw_json"), F.array_join("errors", "; ").alias("errors"))
 
 

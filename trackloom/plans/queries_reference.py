@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,14 +123,19 @@ def ordered_scan(t):
     return t("tracks").select("id").orderBy("id")
 
 
-@query(f"WITH {_CHECKED} SELECT row_num, sid AS id, valence, tempo, key, popularity FROM checked WHERE len(errors) = 0")
+_ACCEPTED = ", ".join(f if RULES[f].kind in ("real", "whole") else f"coalesce({_strip(f)}, '') AS {f}" for f in RECORD_FIELDS)
+
+
+@query(f"WITH {_CHECKED} SELECT row_num, {_ACCEPTED} FROM checked WHERE len(errors) = 0")
 def validate_accept(t):
-    return validate.accepted(checked_rows(t)).select("row_num", "id", "valence", "tempo", "key", "popularity")
+    return validate.accepted(checked_rows(t))
 
 
-@query(f"WITH {_CHECKED} SELECT row_num, array_to_string(errors, '; ') AS errors FROM checked WHERE len(errors) > 0")
+@query(f"WITH {_CHECKED} SELECT row_num, array_to_string(errors, '; ') AS errors, 19 AS fields, title AS raw_title, artist AS raw_artist, mode::VARCHAR AS raw_mode FROM checked WHERE len(errors) > 0")
 def validate_reject(t):
-    return validate.rejected(checked_rows(t)).select("row_num", "errors")
+    raw = lambda f: F.get_json_object("raw_json", f"$.{f}").alias(f"raw_{f}")
+    fields = F.size(F.json_object_keys("raw_json")).alias("fields")
+    return validate.rejected(checked_rows(t)).select("row_num", "errors", fields, raw("title"), raw("artist"), raw("mode"))
 
 
 @query(f"WITH {_CHECKED} SELECT row_num FROM checked WHERE row_num > f")
@@ -545,16 +552,18 @@ def cosine_topk(t):
     return bm25.ranked(scored, "cosine", "vec_id", 20).select("vec_id", r6(F.col("cosine"), "cosine"), "rank")
 
 
-@query(f"WITH {_E} SELECT vec_id, round(v[1] * 3 / sqrt(list_inner_product(v, v) * 9), 6) AS x FROM e")
+@query(f"WITH {_E} SELECT vec_id, (i - 1)::INT AS pos, round(v[i] * 3 / sqrt(list_inner_product(v, v) * 9), 6) AS x FROM e, range(1, 65) r(i)")
 def l2_normalize(t):
-    return embeddings(t).select("vec_id", r6(vectors.l2_normalize(F.transform("v", lambda x: x * 3))[0], "x"))
+    unit = vectors.l2_normalize(F.transform("v", lambda x: x * 3))
+    return embeddings(t).select("vec_id", F.posexplode(unit).alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 @query(f"""WITH {_E}, a AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS nv, sqrt(1 + label * label) AS na, label FROM e),
-n AS (SELECT *, sqrt(0.36 * nv * nv + 0.16) AS n FROM a) SELECT vec_id, round(0.6 * v[1] / n, 6) AS first, round(0.4 * label / na / n, 6) AS last FROM n""")
+n AS (SELECT *, sqrt(0.36 * nv * nv + 0.16) AS n FROM a)
+SELECT vec_id, (i - 1)::INT AS pos, round(CASE WHEN i <= 64 THEN 0.6 * v[i] WHEN i = 65 THEN 0.4 / na ELSE 0.4 * label / na END / n, 6) AS x FROM n, range(1, 67) r(i)""")
 def compose_vectors(t):
     made = embeddings(t).withColumn("c", vectors.compose(F.col("v"), F.array(F.lit(1.0), F.col("label").cast("double"))))
-    return made.select("vec_id", r6(F.col("c")[0], "first"), r6(F.element_at("c", -1), "last"))
+    return made.select("vec_id", F.posexplode("c").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', {1.0 if f == 'valence' else -1.0 if f == 'energy' else 0.0}::DOUBLE)" for f in config.AUDIO_FEATURES) + ") v(feature, value)")
@@ -677,33 +686,47 @@ j AS (SELECT x.query, count(a.vec_id) AS shared, count(*) AS n, (SELECT count(*)
 ev AS (SELECT query, round(shared / (n + m - shared), 6) AS jaccard, (SELECT count(*) FROM cand WHERE cand.query = j.query) AS examined FROM j)"""
 
 
-def evaluated(t) -> DataFrame:
-    """(query, jaccard of the ten best with and without the index, candidates examined). The queries are a bounded block that
-    every task holds; each partition keeps its ten best per query before anything is shuffled."""
-    import numpy as np
-    import pandas as pd
+#: Queries and vectors that meet in one task.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 16_384
+
+
+def _met(vecs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, vec_id, s): the k best of each query in each block of vectors; every block of queries meets every block of vectors."""
+    blocks, parts = max(1, -(-vecs.count() // VECTOR_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.select("query", "q", F.pmod(F.xxhash64("query"), F.lit(parts)).alias("part")).withColumn("block", spread(blocks))
+    right = vecs.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).withColumn("part", spread(parts))
 
+    def matrix(column):
+        flat = column.combine_chunks()
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found = []
+        if asked.num_rows and held.num_rows:
+            ids, names = held.column("vec_id").to_numpy(), asked.column("query").to_numpy()
+            for name, row in zip(names, np.round(matrix(asked.column("q")) @ matrix(held.column("v")).T, 9)):
+                near = np.flatnonzero(row >= np.partition(row, -min(k, len(row)))[-min(k, len(row))])  # with all that tie
+                near = near[np.lexsort((ids[near], -row[near]))[:k]]
+                found.append((np.full(len(near), name), ids[near], row[near]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)]
+        return pa.table({"query": columns[0], "vec_id": columns[1], "s": columns[2]})
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(best, "query long, vec_id long, s double")
+
+
+def evaluated(t) -> DataFrame:
+    """(query, jaccard of the ten best with and without the index, candidates examined). Queries and vectors meet in blocks."""
     e, h = embeddings(t), hashed(t)
-    cand = lsh.candidates(h, _asked(h), "query", "vec_id").select("query", "vec_id").withColumn("proposed", F.lit(True))
-    asked = [(r["vec_id"], r["v"]) for r in e.filter(F.col("vec_id") % 20 == 0).select("vec_id", "v").collect()]
-    names, matrix = np.array([a[0] for a in asked]), np.array([a[1] for a in asked])
-
-    def best(batches):
-        for pdf in batches:
-            if not len(pdf) or not len(names):
-                continue
-            ids, s = pdf["vec_id"].to_numpy(), np.round(np.stack(pdf["v"].to_numpy()) @ matrix.T, 9)
-            for j, name in enumerate(names):
-                top = np.lexsort((ids, -s[:, j]))[:10]
-                yield pd.DataFrame({"query": name, "vec_id": ids[top], "s": s[top, j]})
+    cand = lsh.candidates(h, _asked(h), "query", "vec_id").select("query", "vec_id")
+    asked = e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
 
     def ten(df: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "vec_id"))
         return df.withColumn("_k", rank).filter("_k <= 10").groupBy("query").agg(F.collect_set("vec_id").alias("ids"))
 
-    exact = ten(e.select("vec_id", "v").mapInPandas(best, "query long, vec_id long, s double"))
-    vecs = F.broadcast(t("embeddings").sparkSession.createDataFrame([(int(a), list(map(float, v))) for a, v in asked], "query long, q array<double>"))
-    pairs = cand.join(e.select("vec_id", "v"), "vec_id").join(vecs, "query")
+    exact = ten(_met(e, asked, 10))
+    pairs = cand.join(e.select("vec_id", "v"), "vec_id").join(asked, "query")
     approximate = ten(pairs.select("query", "vec_id", F.round(vectors.dot(F.col("v"), F.col("q")), 9).alias("s"))).withColumnRenamed("ids", "found")
     examined = cand.groupBy("query").agg(F.count("*").alias("examined"))
     both = exact.join(approximate, "query", "left").join(examined, "query", "left")

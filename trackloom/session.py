@@ -14,10 +14,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; make one only where none is set (tests)."""
+    """Use the folder the cluster names in spark.checkpoint.dir; make one only where none is set and all tasks run in one process
+    (tests). On a cluster a folder of one machine would be read by others: without a named one this raises."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="trackloom-checkpoint-"))
 
 
