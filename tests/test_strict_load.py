@@ -39,7 +39,7 @@ def test_empty_and_rejected_rows(spark):
     assert S.failure_reasons(empty).count() == 0 and S.strict_load(empty).count() == 0
     raw = spark.createDataFrame([(1, line(tempo="0", key="x")), (2, "a,b")], "line_id long, raw_line string")
     rows = {r["line_id"]: r for r in S.rejected_rows(raw).collect()}
-    assert rows[1]["errors"] == "tempo; key" and '"tempo":"0"' in rows[1]["raw_json"]
+    assert rows[1]["errors"] == "tempo=0.0 out of range (0,300]; key is not numeric: 'x'" and '"tempo":"0"' in rows[1]["raw_json"]
     assert rows[2]["errors"] == "column_count" and '"line":"a,b"' in rows[2]["raw_json"]
 
 
